@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import mixing, nearest, sketch
+from marlstone.llm import leaks, mixing, nearest, sketch
 from marlstone.operators.rolling import once
 from marlstone.session import shared_checkpoint
 from marlstone.sources.tables import micros, plain_id, table
@@ -53,6 +53,21 @@ def p6_merged(spark: SparkSession, d: str) -> DataFrame:
     return sketch.percentiles(sketch.merge(*halves), PERCENTILES)
 
 
+def _leaked(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"), doc_id="doc_id", text="text", item_id="item_id", passage="passage")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaked(spark, d)
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """Every test item with the number of documents it leaked into, 0 if none."""
+    counts = _leaked(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
+    items = table(spark, d, "eval_items").select("item_id", "suite")
+    return items.join(counts, "item_id", "left").select("item_id", "suite", F.coalesce("documents", F.lit(0)).alias("documents"))
+
+
 #: Long rulings of the small sources later, the large court feeds evenly.
 CURRICULUM = {
     "historic_scans": ((0.0, 1.5), (1.0, 0.5)),
@@ -75,7 +90,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(_mix(spark, d), table(spark, d, "source_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_gaps, p6_percentiles, p6_merged, p9_mix, p9_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_gaps, p6_percentiles, p6_merged, p8_found, p8_report, p9_mix, p9_shares)}
 
 _NEAREST = """
 WITH trades AS (
