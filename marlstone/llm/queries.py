@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import leaks, mixing, nearest, sketch
+from marlstone.llm import leaks, mixing, nearest, pii, sketch
 from marlstone.operators.rolling import once
 from marlstone.session import shared_checkpoint
 from marlstone.sources.tables import micros, plain_id, table
@@ -90,7 +90,16 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(_mix(spark, d), table(spark, d, "source_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_gaps, p6_percentiles, p6_merged, p8_found, p8_report, p9_mix, p9_shares)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find(table(spark, d, "documents"), table(spark, d, "given_names"))
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every text with its mentions replaced by typed placeholders."""
+    return pii.redact(table(spark, d, "documents"), table(spark, d, "given_names"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_gaps, p6_percentiles, p6_merged, p8_found, p8_report, p9_mix, p9_shares, p10_found, p10_redacted)}
 
 _NEAREST = """
 WITH trades AS (
