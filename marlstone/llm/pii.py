@@ -22,6 +22,7 @@ from marlstone.llm import pii_labels
 
 KINDS = tuple(pii_labels.LABELS.values())
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
+OPENING, INNER = [i for i, t in enumerate(TAGS) if t[0] == "B"], [i for i, t in enumerate(TAGS) if t[0] == "I"]
 TOKEN = re.compile(r"\n+|[^\W_]+|[^\w\s]|_")
 REACH = 3
 #: How words for ways end in the labelled table, as these are often one word with their name.
@@ -231,6 +232,9 @@ def train(given_names: tuple[str, ...] = (), copies: int = 30, rounds: int = 10,
             moments[i] = 0.9 * moments[i] + 0.1 * g
             moments[i + 1] = 0.99 * moments[i + 1] + 0.01 * g * g
             x += rate * (moments[i] / (1 - 0.9**step)) / (np.sqrt(moments[i + 1] / (1 - 0.99**step)) + 1e-8)
+        # what leads to an opening tag counts the same for every kind, which lets Viterbi look for it once
+        into = b[:, OPENING]
+        b[:, OPENING] = into.mean(1, keepdims=True) + into.mean(0) - into.mean()
     runs = np.zeros((len(RUNS), 16**4, tags), np.float32)
     for i, k in enumerate(kinds):
         runs[i, k] = r[i]
@@ -240,22 +244,22 @@ def train(given_names: tuple[str, ...] = (), copies: int = 30, rounds: int = 10,
 class Tagger:
     """Decodes texts; scores of distinct tokens are kept from text to text."""
 
-    def __init__(self, model: Model) -> None:
-        self.model = model
+    def __init__(self, model: Model, margin: float = 18.0, span: int = 14) -> None:
+        self.model, self.margin, self.span = model, margin, span
         self.reset()
 
     def reset(self) -> None:
         self.ids: dict[str, int] = {}
         edge = self.model.weights[:, self.model.features["edge"]]
-        self.table, self.size, self.classes = np.zeros((1 << 12, *edge.shape), np.float32), 1, [0]
-        self.table[0] = edge
+        self.table, self.size, self.classes = np.zeros((len(edge), 1 << 12, len(TAGS)), np.float32), 1, [0]
+        self.table[:, 0] = edge
 
     def _id(self, word: str) -> int:
         i = self.ids[word] = self.size
-        if i == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        if i == self.table.shape[1]:
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)], 1)
         self.classes.append(word_class(word, self.model.given, self.model.known))
-        self.table[i] = self.model.weights[:, self.model.row(word)].sum(1)
+        self.table[:, i] = self.model.weights[:, self.model.row(word)].sum(1)
         self.size += 1
         return i
 
@@ -277,52 +281,70 @@ class Tagger:
         line, stream = (line & (codes > 0))[kept], codes[kept]
         n = len(stream)
         first, second = _run_codes(np.array(self.classes, np.int32)[stream])
-        score = self.model.runs[0][first] + self.model.runs[1][second]
+        score = self.model.runs[0].take(first, axis=0) + self.model.runs[1].take(second, axis=0)
         for o in range(-REACH, REACH + 1):
             low, high = max(0, -o), min(n, n - o)
-            score[low:high] += self.table[:, o + REACH][stream[low + o : high + o]]
-            score[low:high] += line[low + o : high + o, None] * self.model.weights[o + REACH, 0]
+            score[low:high] += self.table[o + REACH].take(stream[low + o : high + o], axis=0)
+            begins = np.flatnonzero(line[low + o : high + o]) + low
+            score[begins] += self.model.weights[o + REACH, 0]
         tags = self._decode(score, stream == 0)
         return self._collect(texts, lists, stream, tags, spans)
 
     def _decode(self, score: np.ndarray, gap: np.ndarray) -> np.ndarray:
-        """Viterbi over the stretches around tokens that any tag but O comes near to; between them, and at gaps, O holds.
+        """Viterbi over the stretches in which a mention may begin or go on; elsewhere, and at gaps, O holds.
 
-        A stretch ends where REACH + 2 tokens in a row are all clearly for O by their own scores.
+        A mention begins where an opening tag comes within ``self.margin`` of O by its own score; from there a stretch
+        goes on for ``self.span`` tokens, or as long as mentions may begin.
         """
         n = len(score)
-        lift = score[:, 1:].max(1) - score[:, 0]
-        hot = (lift > -3.0) & ~gap
-        reach = REACH + 2
-        sums = np.concatenate([[0], np.cumsum(hot)])
-        at = np.arange(n)
-        live = (sums[np.minimum(at + reach, n)] - sums[np.maximum(at - reach, 0)] > 0) & ~gap
+        may = (score[:, OPENING].max(1) - score[:, 0] > -self.margin) & ~gap
+        sums, at = np.concatenate([[0], np.cumsum(may)]), np.arange(n)
+        live = (sums[np.minimum(at + 2, n)] - sums[np.maximum(at - self.span, 0)] > 0) & ~gap
         edges = np.flatnonzero(np.diff(np.concatenate([[False], live, [False]])))
         starts, ends = edges[::2], edges[1::2]
         tags = np.zeros(n, np.int8)
         order = np.argsort(ends - starts, kind="stable")
-        between, start_ok = self.model.between, np.array([0 if t[0] != "I" else -1e4 for t in TAGS], np.float32)
-        for i in range(0, len(order), 2048):
-            part = order[i : i + 2048]
+        between = self.model.between
+        out_of, lead = np.ascontiguousarray(between[:, 0]), between[:, OPENING[0]].copy()
+        kind = between[0, OPENING] - between[0, OPENING[0]]
+        first, again = between[OPENING, INNER], between[INNER, INNER]
+        for i in range(0, len(order), 4096):
+            part = order[i : i + 4096]
             begin, size = starts[part], ends[part] - starts[part]
-            longest = size.max()
-            back = np.zeros((longest, len(part), len(TAGS)), np.int8)
-            best, final = None, np.zeros((len(part), len(TAGS)), np.float32)
+            longest, m = size.max(), len(part)
+            to_o, to_b, goes_on = np.zeros((longest, m), np.int8), np.zeros((longest, m), np.int8), np.zeros((longest, m, len(KINDS)), bool)
+            final = np.zeros((m, len(TAGS)), np.float32)
+            rows, done = np.arange(m), 0
             for t in range(longest):
-                now = score[np.minimum(begin + t, n - 1)]
+                while size[done] <= t:  # sorted by size: the shortest are done
+                    done += 1
+                now = score[begin[done:] + t]
                 if t == 0:
-                    best = now + start_ok
+                    best = now.copy()
+                    best[:, INNER] = -1e4
                 else:
-                    paths = best[:, :, None] + between
-                    back[t] = paths.argmax(1)
-                    best = np.take_along_axis(paths, back[t][:, None].astype(np.int64), 1)[:, 0] + now
-                done = size == t + 1
-                final[done] = best[done]
-            tag = final.argmax(1).astype(np.int8)
+                    best = best[-(m - done) :]
+                    o, b = best + out_of, best + lead
+                    to_o[t, done:], to_b[t, done:] = o.argmax(1), b.argmax(1)
+                    opened, held = best[:, OPENING] + first, best[:, INNER] + again
+                    goes_on[t, done:] = held > opened
+                    new = now
+                    new[:, 0] += o.max(1)
+                    new[:, OPENING] += b.max(1)[:, None] + kind
+                    new[:, INNER] += np.maximum(opened, held)
+                    best = new
+                last = size[done:] == t + 1
+                final[done:][last] = best[last]
+            tag = final.argmax(1)
             for t in range(longest - 1, -1, -1):
-                inside = t < size
-                tags[begin[inside] + t] = tag[inside]
-                tag = np.where(inside, back[t][np.arange(len(part)), tag], tag)
+                low = np.searchsorted(size, t, "right")
+                tag_now = tag[low:]
+                tags[begin[low:] + t] = tag_now
+                if t:
+                    k = (tag_now - 1) // 2
+                    inner = (tag_now > 0) & (tag_now % 2 == 0)
+                    held = goes_on[t, low:][rows[: m - low], np.maximum(k, 0)]
+                    tag[low:] = np.where(inner, tag_now - 1 + held, np.where(tag_now == 0, to_o[t, low:], to_b[t, low:]))
         return tags
 
     def _collect(self, texts: list[str], lists: list[list[str]], stream: np.ndarray, tags: np.ndarray, spans: bool) -> list[list[tuple]]:
