@@ -116,27 +116,37 @@ def _middle(values: Column, p: float = 0.5) -> Column:
     return F.when(F.size(values) > 0, F.get(values, low) + (F.get(values, high) - F.get(values, low)) * (at - F.floor(at)))
 
 
-def robust_operators(v: str, x: str, us: str, w: WindowSpec, half_life_seconds: float) -> dict[str, Column]:
-    """The state operators that need a window's values at once: choose windows of bounded length."""
-    seen = F.array_sort(F.filter(F.collect_list(F.struct(F.col(us).alias("t"), F.col(v).alias("v"), F.col(x).alias("x"))).over(w), lambda o: o["v"].isNotNull()))
-    values, xs = F.transform(seen, lambda o: o["v"]), F.transform(seen, lambda o: o["x"])
-    ordered, last = F.array_sort(values), F.get(values, F.size(values) - 1)
-    centre, centre_x = _middle(ordered), _middle(F.array_sort(xs))
-    mad = _middle(F.array_sort(F.transform(values, lambda a: F.abs(a - centre))))
-    mad_x = _middle(F.array_sort(F.transform(xs, lambda a: F.abs(a - centre_x))))
-    covariance = _middle(F.array_sort(F.transform(seen, lambda o: (o["v"] - centre) * (o["x"] - centre_x))))
-    decay = lambda o: F.exp(-F.lit(0.6931471805599453) * (F.col(us) - o["t"]) / 1e6 / half_life_seconds)
+def robust_operators(df: DataFrame, v: str, x: str, us: str, w: WindowSpec, half_life_seconds: float) -> DataFrame:
+    """``df`` with the state operators that need a window's values at once: choose windows of bounded length.
+
+    Intermediate arrays are columns of their own, so that each is made once.
+    """
+    seen = F.filter(F.collect_list(F.struct(F.col(us).alias("t"), F.col(v).alias("v"), F.col(x).alias("x"))).over(w), lambda o: o["v"].isNotNull())
+    rows = df.withColumn("_seen", F.array_sort(seen))
+    rows = rows.withColumns({"_v": F.transform("_seen", lambda o: o["v"]), "_x": F.transform("_seen", lambda o: o["x"])})
+    rows = rows.withColumns({"_sorted": F.array_sort("_v"), "_sorted_x": F.array_sort("_x"), "_last": F.get("_v", F.size("_v") - 1)})
+    rows = rows.withColumns({"_mid": _middle(F.col("_sorted")), "_mid_x": _middle(F.col("_sorted_x"))})
     slopes = F.flatten(
-        F.transform(seen, lambda a, i: F.transform(F.filter(F.slice(seen, i + 2, F.size(seen)), lambda b: b["x"] != a["x"]), lambda b: (b["v"] - a["v"]) / (b["x"] - a["x"])))
+        F.transform("_seen", lambda a, i: F.transform(F.filter(F.slice("_seen", i + 2, F.size("_seen")), lambda b: b["x"] != a["x"]), lambda b: (b["v"] - a["v"]) / (b["x"] - a["x"])))
     )
-    total = lambda f: F.aggregate(seen, F.lit(0.0), lambda s, o: s + f(o))
-    return {
-        "percentile_25": _middle(ordered, 0.25),
-        "percentile_50": centre,
-        "mad": mad,
-        "ewma": F.try_divide(total(lambda o: decay(o) * o["v"]), total(decay)),
-        "robust_slope": _middle(F.array_sort(slopes)),
-        "robust_covariance": covariance,
-        "robust_correlation": F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(covariance, mad * mad_x))),
-        "rolling_rank": F.try_divide(F.size(F.filter(values, lambda a: a <= last)) - F.lit(0.5), F.size(values)),
-    }
+    rows = rows.withColumns(
+        {
+            "_off": F.array_sort(F.transform("_v", lambda a: F.abs(a - F.col("_mid")))),
+            "_off_x": F.array_sort(F.transform("_x", lambda a: F.abs(a - F.col("_mid_x")))),
+            "_both": F.array_sort(F.transform("_seen", lambda o: (o["v"] - F.col("_mid")) * (o["x"] - F.col("_mid_x")))),
+            "_slopes": F.array_sort(slopes),
+        }
+    )
+    rows = rows.withColumns({"mad": _middle(F.col("_off")), "_mad_x": _middle(F.col("_off_x")), "robust_covariance": _middle(F.col("_both")), "robust_slope": _middle(F.col("_slopes"))})
+    decay = lambda o: F.exp(-F.lit(0.6931471805599453) * (F.col(us) - o["t"]) / 1e6 / half_life_seconds)
+    total = lambda f: F.aggregate("_seen", F.lit(0.0), lambda s, o: s + f(o))
+    spread = F.col("mad") * F.col("_mad_x")
+    return rows.withColumns(
+        {
+            "percentile_25": _middle(F.col("_sorted"), 0.25),
+            "percentile_50": F.col("_mid"),
+            "ewma": F.try_divide(total(lambda o: decay(o) * o["v"]), total(decay)),
+            "robust_correlation": F.when(spread != 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("robust_covariance") / spread))),
+            "rolling_rank": F.try_divide(F.size(F.filter("_v", lambda a: a <= F.col("_last"))) - F.lit(0.5), F.size("_v")),
+        }
+    ).drop("_seen", "_v", "_x", "_sorted", "_sorted_x", "_last", "_mid", "_mid_x", "_off", "_off_x", "_both", "_slopes", "_mad_x")

@@ -66,8 +66,8 @@ def state_operators(spark: SparkSession, d: str) -> DataFrame:
 )
 def state_robust_operators(spark: SparkSession, d: str) -> DataFrame:
     rows = tape(spark, d).withColumn("hour", F.floor(F.col("us") / 3_600_000_000).cast("long") % 24 + F.lit(0.0))
-    ops = W.robust_operators("amount", "hour", "us", W.trailing("bond", "us", 2 * DAY, strict=False), 3600.0)
-    return rounded(rows.select("id", *[c.alias(n) for n, c in ops.items()]), "id")
+    out = W.robust_operators(rows, "amount", "hour", "us", W.trailing("bond", "us", 2 * DAY, strict=False), 3600.0)
+    return rounded(out.drop(*[c for c in rows.columns if c != "id"]), "id")
 
 
 @query(TAPE + " SELECT id, round((count(*) OVER (PARTITION BY issuer, us // 86400000000 ORDER BY amount RANGE UNBOUNDED PRECEDING) - 0.5) / count(*) OVER (PARTITION BY issuer, us // 86400000000), 6) AS rank FROM tape")
