@@ -38,19 +38,24 @@ def p2_gaps(spark: SparkSession, d: str) -> DataFrame:
 PERCENTILES = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
 
 
-def _notionals(spark: SparkSession, d: str) -> DataFrame:
-    return once(table(spark, d, "source_events"), "event_id", "source_bond_id", "notional")
+def _sketches(spark: SparkSession, d: str) -> DataFrame:
+    """Sketches per bond and month, as separate files would give them; events without a time make a month of their own."""
+    month = F.coalesce(F.date_format("timestamp_utc", "yyyy-MM"), F.lit("none")).alias("month")
+    return sketch.build(once(table(spark, d, "source_events"), "event_id", "source_bond_id", "notional", month), ["source_bond_id", "month"], "notional")
+
+
+def p6_sketches(spark: SparkSession, d: str) -> DataFrame:
+    """The form that can be combined: the cells of each bond's and month's sketch."""
+    return _sketches(spark, d)
 
 
 def p6_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return sketch.percentiles(sketch.build(_notionals(spark, d), ["source_bond_id"], "notional"), PERCENTILES)
+    """Per bond, over all months: the months' sketches added up and inverted."""
+    return sketch.percentiles(sketch.merge(_sketches(spark, d).drop("month")), PERCENTILES)
 
 
-def p6_merged(spark: SparkSession, d: str) -> DataFrame:
-    """The same from two sketches of separate halves of the events, added up."""
-    events = _notionals(spark, d)
-    halves = [sketch.build(events.where(F.pmod("event_id", F.lit(2)) == i), ["source_bond_id"], "notional") for i in (0, 1)]
-    return sketch.percentiles(sketch.merge(*halves), PERCENTILES)
+def p6_monthly(spark: SparkSession, d: str) -> DataFrame:
+    return sketch.percentiles(_sketches(spark, d), PERCENTILES)
 
 
 def _leaked(spark: SparkSession, d: str) -> DataFrame:
@@ -99,7 +104,7 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redact(table(spark, d, "documents"), table(spark, d, "given_names"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_gaps, p6_percentiles, p6_merged, p8_found, p8_report, p9_mix, p9_shares, p10_found, p10_redacted)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_gaps, p6_sketches, p6_percentiles, p6_monthly, p8_found, p8_report, p9_mix, p9_shares, p10_found, p10_redacted)}
 
 _NEAREST = """
 WITH trades AS (
