@@ -61,13 +61,13 @@ def state_operators(spark: SparkSession, d: str) -> DataFrame:
       sum(v * exp(-0.6931471805599453 * (ref - us) / 1e6 / 3600)) / sum(exp(-0.6931471805599453 * (ref - us) / 1e6 / 3600)) AS ewma, (count(*) FILTER (v <= l) - 0.5) / count(*) AS rolling_rank
       FROM obs o JOIN mid USING (id) GROUP BY o.id),
     slopes AS (SELECT p.id, median((q.v - p.v) / (q.x - p.x)) AS slope FROM obs p JOIN obs q ON p.id = q.id AND p.us < q.us AND p.x != q.x GROUP BY p.id)
-    SELECT stats.id, round(percentile_25, 5) AS percentile_25, round(percentile_50, 5) AS percentile_50, round(mad, 5) AS mad, round(ewma, 5) AS ewma, round(slope, 5) AS robust_slope, round(cov, 5) AS robust_covariance,
-      CASE WHEN mad * madx != 0 THEN round(greatest(-1, least(1, cov / (mad * madx))), 5) END AS robust_correlation, round(rolling_rank, 5) AS rolling_rank FROM stats LEFT JOIN slopes USING (id)"""
+    SELECT stats.id, round(percentile_25, 9) AS percentile_25, round(percentile_50, 9) AS percentile_50, round(mad, 9) AS mad, round(ewma, 9) AS ewma, round(slope, 9) AS robust_slope, round(cov, 9) AS robust_covariance,
+      CASE WHEN mad * madx != 0 THEN round(greatest(-1, least(1, cov / (mad * madx))), 9) END AS robust_correlation, round(rolling_rank, 9) AS rolling_rank FROM stats LEFT JOIN slopes USING (id)"""
 )
 def state_robust_operators(spark: SparkSession, d: str) -> DataFrame:
     rows = tape(spark, d).withColumn("hour", F.floor(F.col("us") / 3_600_000_000).cast("long") % 24 + F.lit(0.0))
     out = W.robust_operators(rows, "amount", "hour", "us", W.trailing("bond", "us", 2 * DAY, strict=False), 3600.0)
-    return rounded(out.drop(*[c for c in rows.columns if c != "id"]), "id")
+    return rounded(out.drop(*[c for c in rows.columns if c != "id"]), "id", digits=9)
 
 
 @query(TAPE + " SELECT id, round((count(*) OVER (PARTITION BY issuer, us // 86400000000 ORDER BY amount RANGE UNBOUNDED PRECEDING) - 0.5) / count(*) OVER (PARTITION BY issuer, us // 86400000000), 6) AS rank FROM tape")
