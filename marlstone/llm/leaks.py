@@ -116,6 +116,7 @@ def holds(documents: list[np.ndarray], items: list[np.ndarray], plan: Plan) -> n
     """Whether each stretch of a document holds its item: ``least`` words of it in order, one in ``one_in`` edited.
 
     Local alignment over words (a match 1, an edit -2); a cell knows where its path began in the item and the edits so far.
+    Quick, and right where it says yes; what it denies is left to ``holds_exactly``.
     """
     n, rows, width = len(items), max(map(len, documents)), max(map(len, items))
     item, document = np.full((n, width), -1, np.int64), np.full((n, rows), -2, np.int64)
@@ -152,6 +153,26 @@ def holds(documents: list[np.ndarray], items: list[np.ndarray], plan: Plan) -> n
     return found
 
 
+def holds_exactly(document: np.ndarray, item: np.ndarray, plan: Plan) -> bool:
+    """The same for one pair, by the edit distance of every stretch of the item to every stretch of the document."""
+    n = len(item)
+    column, begins = np.arange(n + 1, dtype=np.int32), np.arange(n - plan.least + 1, dtype=np.int32)[:, None]
+    length = column - begins
+    before, limit = length < 0, np.where(length >= plan.least, length // plan.one_in, -1)
+    far = np.int32(1 << 20)
+    now = np.where(before, far, length).astype(np.int32)
+    for word in document:
+        new = np.empty_like(now)
+        new[:, 0] = far
+        np.minimum(now[:, :-1] + (item != word), now[:, 1:] + 1, out=new[:, 1:])
+        new[length == 0] = 0  # a stretch of the document may begin anywhere
+        now = np.minimum.accumulate(new - column, axis=1) + column
+        now[before] = far
+        if (now <= limit).any():
+            return True
+    return False
+
+
 def leaked(documents: DataFrame, items: DataFrame, *, doc_id: str, text: str, item_id: str, passage: str, plan: Plan = Plan(), furniture: str = FURNITURE) -> DataFrame:
     """(item_id, doc_id) of documents that hold a stretch of an item's passage, wholly or in part.
 
@@ -285,6 +306,9 @@ class Search:
                 for (item, doc, _), ok in zip(some, holds([t[2] for t in some], [self.items[t[0]] for t in some], self.plan)):
                     if ok:
                         out.add((item, doc))
+                for item, doc, stretch in some:
+                    if (item, doc) not in out and holds_exactly(stretch, self.items[item], self.plan):
+                        out.add((item, doc))
         return sorted(out)
 
     def _enough(self, stretch: np.ndarray, item: np.ndarray) -> bool:

@@ -244,8 +244,8 @@ def train(given_names: tuple[str, ...] = (), copies: int = 30, rounds: int = 10,
 class Tagger:
     """Decodes texts; scores of distinct tokens are kept from text to text."""
 
-    def __init__(self, model: Model, margin: float = 18.0, span: int = 14) -> None:
-        self.model, self.margin, self.span = model, margin, span
+    def __init__(self, model: Model) -> None:
+        self.model = model
         self.reset()
 
     def reset(self) -> None:
@@ -291,16 +291,9 @@ class Tagger:
         return self._collect(texts, lists, stream, tags, spans)
 
     def _decode(self, score: np.ndarray, gap: np.ndarray) -> np.ndarray:
-        """Viterbi over the stretches in which a mention may begin or go on; elsewhere, and at gaps, O holds.
-
-        A mention begins where an opening tag comes within ``self.margin`` of O by its own score; from there a stretch
-        goes on for ``self.span`` tokens, or as long as mentions may begin.
-        """
+        """Viterbi over whole texts, texts of like length together; gaps part them."""
         n = len(score)
-        may = (score[:, OPENING].max(1) - score[:, 0] > -self.margin) & ~gap
-        sums, at = np.concatenate([[0], np.cumsum(may)]), np.arange(n)
-        live = (sums[np.minimum(at + 2, n)] - sums[np.maximum(at - self.span, 0)] > 0) & ~gap
-        edges = np.flatnonzero(np.diff(np.concatenate([[False], live, [False]])))
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], ~gap, [False]])))
         starts, ends = edges[::2], edges[1::2]
         tags = np.zeros(n, np.int8)
         order = np.argsort(ends - starts, kind="stable")
@@ -308,8 +301,12 @@ class Tagger:
         out_of, lead = np.ascontiguousarray(between[:, 0]), between[:, OPENING[0]].copy()
         kind = between[0, OPENING] - between[0, OPENING[0]]
         first, again = between[OPENING, INNER], between[INNER, INNER]
-        for i in range(0, len(order), 4096):
-            part = order[i : i + 4096]
+        sizes, i = (ends - starts)[order], 0
+        while i < len(order):
+            upto = i + 1  # what Viterbi keeps for a batch is bounded, but for a single text
+            while upto < len(order) and sizes[upto] * (upto + 1 - i) < 2_000_000:
+                upto += 1
+            part, i = order[i:upto], upto
             begin, size = starts[part], ends[part] - starts[part]
             longest, m = size.max(), len(part)
             to_o, to_b, goes_on = np.zeros((longest, m), np.int8), np.zeros((longest, m), np.int8), np.zeros((longest, m, len(KINDS)), bool)
