@@ -135,3 +135,13 @@ def replay(
     else:
         state = step(ops, final=True)
     return state.select(F.col("_key").alias(key), F.col("_sequence").alias(sequence), *columns)
+
+
+def compacted(changes: DataFrame, *, columns: Sequence[str] = (), partial: bool = False) -> DataFrame:
+    """A change feed in the same form (event_id, corrected_event_id, sequence, action, columns) and with the same outcome,
+    reduced to each key's last removal and its state: at most two changes a key, to which later changes can be added."""
+    ops = operations(changes, key="event_id", target="corrected_event_id", sequence="sequence", action="action", columns=columns)
+    placed = ops.repartition("_key").sortWithinPartitions("_key", "_stripe", "_sequence", "_kind")
+    kept = placed.mapInArrow(_machine(columns, partial, final=False), ops.schema)
+    verb = F.when(F.col("_kind") == REMOVE, "cancel").otherwise("upsert")
+    return kept.select(F.col("_key").alias("event_id"), F.lit(None).cast("string").alias("corrected_event_id"), F.col("_sequence").alias("sequence"), verb.alias("action"), *columns)
