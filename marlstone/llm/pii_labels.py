@@ -12,7 +12,7 @@ import re
 LABELS = {"P": "person_name", "A": "street_address", "E": "email", "T": "phone", "I": "id_number"}
 
 #: {n}: bare initials, bare surnames and redaction marks; {s}: a bare surname; {c}: a company; {d}: a docket; {w}: a town;
-#: {b}: plain wording; {k}: a German clause; {h}: a page header; {g}: a court.
+#: {b}: plain wording; {u}: the same in capitals; {k}: a German clause; {f}: a French one; {h}: a page header; {g}: a court.
 ROWS = r"""
 Between: {P} (Appellant) and {P} (Respondent)
 Between: {P} (Appellant) and {c} (Respondent)
@@ -188,6 +188,19 @@ Der Torfweg war gesperrt. {k}
 Le quai des Cordiers était fermé. {f}
 Rue des Halles fut barrée. Copper Street stayed shut.
 (1) {b} \n \n (2) {b}
+(1) At first instance, {b}
+{b} At first instance, {b} In fairness, {b}
+{u}
+{b} {u} {b}
+In der Sache Société {s}, Klägerseite, gegen {P}, Beklagtenseite
+In der Sache {P}, Klägerseite, gegen Société {s}, Beklagtenseite
+En cause de Société {s}, demandeur, contre {P}, défendeur
+En cause de {P}, demandeur, contre Société {s}, défendeur
+Between: Société {s} (Appellant) and {P} (Respondent)
+The fund wrote at 14.30 on 12.11.2016.
+{b} The fund wrote at 09.15 on 03.10.1998. {b}
+Der Fonds schrieb um 14.30 am 12.11.2016. {k}
+Le fonds écrivit à 14.30 le 12.11.2016. {f}
 1. {b} \n 2. {b}
 § 4 {b} \n \n § 5 {b}
 [3] {k} \n \n [4] {k}
@@ -352,6 +365,9 @@ class Filler:
     def b(self) -> str:
         return self._clause(OPENERS, PLAIN)
 
+    def u(self) -> str:
+        return self.b().upper()
+
     def k(self) -> str:
         return self._clause(GERMAN_OPENERS, GERMAN_SMALL, GERMAN)
 
@@ -366,7 +382,8 @@ def labelled(given: list[str], copies: int = 8, seed: int = 3, together: int = 5
         parts = re.split(r"\{(\w)\}", row.replace("\\n", "\n"))
         for _ in range(copies):
             wrap = fill.rng.random() < 0.15
-            out.append([(getattr(fill, p)(), LABELS.get(p)) if i % 2 else (p, None) for i, p in enumerate(parts)])
+            fixed = [re.sub(r"\d", lambda m: fill.digits(1), p) for p in parts]  # numbers in the wording vary
+            out.append([(getattr(fill, p)(), LABELS.get(p)) if i % 2 else (fixed[i], None) for i, p in enumerate(parts)])
             if wrap:  # hard line breaks of scanned text
                 out[-1] = [("".join("\n" if c == " " and fill.rng.random() < 0.15 else c for c in x), label) for x, label in out[-1]]
     fill.rng.shuffle(out)
