@@ -77,6 +77,44 @@ def notional_clock(df: DataFrame, key: str, us: str, size: str, tie: list[str],
     return df.withColumn("_c", state).select(key, us, *tie, F.when(F.col("_c.s") >= amount, F.col("_c.n")).alias("events_needed"))
 
 
+#: Half-lives a chunk of time, and how many chunks back a weight can still be told from 0 in a double (2 to the -1075).
+CHUNK, FAR = 16, 69
+
+
+def decayed_history(df: DataFrame, key: str, us: str, half_life_us: int, values: dict[str, Column]) -> DataFrame:
+    """``df`` with each value's sum over all strictly earlier rows of the key, halved every half-life, a second of half-life.
+
+    NULL where no earlier row has that value. History is cut into chunks of time whose totals are carried forward, so no
+    task holds a key's rows and no weight overflows. Carrying ends where a weight is 0 in a double.
+    """
+    span = CHUNK * half_life_us
+    rows = df.withColumn("_chunk", F.floor(F.col(us) / span).cast("long"))
+    rows = rows.withColumn("_x", (F.col(us) - F.col("_chunk") * span) / half_life_us)
+    grown = {n: F.when(F.col(key).isNotNull(), v.cast("double") * F.pow(F.lit(2.0), F.col("_x"))) for n, v in values.items()}
+    totals = rows.groupBy(key, "_chunk").agg(*[f(g).alias(f"_{k}_{n}") for n, g in grown.items() for k, f in (("t", F.sum), ("n", F.count))])
+    chain = Window.partitionBy(key).orderBy("_chunk")
+    seen = F.collect_list(F.struct("_chunk", *[F.coalesce(f"_t_{n}", F.lit(0.0)).alias(n) for n in values])).over(chain.rangeBetween(-FAR, -1))
+
+    def carried(n: str) -> Column:
+        # by half the exponent twice, as the whole may be under the smallest double while the product is not
+        half = lambda o: F.pow(F.lit(2.0), (o["_chunk"] - F.col("_chunk")) * F.lit(CHUNK / 2))
+        return F.aggregate("_seen", F.lit(0.0), lambda s, o: s + o[n] * half(o) * half(o))
+
+    carry = totals.withColumn("_seen", seen).select(
+        F.col(key).alias("_k"), F.col("_chunk").alias("_c"),
+        *[carried(n).alias(f"_c_{n}") for n in values], *[F.sum(f"_n_{n}").over(chain.rangeBetween(Window.unboundedPreceding, -1)).alias(f"_b_{n}") for n in values],
+    )
+    inside = Window.partitionBy(key, "_chunk").orderBy(us).rangeBetween(Window.unboundedPreceding, -1)
+    local = rows.withColumns({f"_{k}_{n}": f(g).over(inside) for n, g in grown.items() for k, f in (("l", F.sum), ("m", F.count))})
+    out = local.join(carry, (F.col(key) == F.col("_k")) & (F.col("_chunk") == F.col("_c")), "left")
+    zero = F.lit(0.0)
+    decayed = {
+        n: F.when(F.col(f"_m_{n}") + F.coalesce(f"_b_{n}", F.lit(0)) > 0, (F.coalesce(f"_l_{n}", zero) + F.coalesce(f"_c_{n}", zero)) * F.pow(F.lit(2.0), -F.col("_x")) / max(half_life_us / 1e6, 1.0))
+        for n in values
+    }
+    return out.select(*df.columns, *[c.alias(n) for n, c in decayed.items()])
+
+
 def run_length(df: DataFrame, key: str, us: str, side: str, tie: list[str]) -> DataFrame:
     """Signed length of the run of one side that ends with each two-sided row."""
     w = Window.partitionBy(key).orderBy(us, *tie)

@@ -168,6 +168,19 @@ def a3_intensity(spark: SparkSession, d: str) -> DataFrame:
     return tape(spark, d).select("id", decayed(1).alias("buy_intensity"), decayed(-1).alias("sell_intensity"))
 
 
+@query(
+    TAPE
+    + """, sums AS (SELECT a.id, sum(exp(-0.6931471805599453 * (a.us - b.us) / 8.64e10)) FILTER (b.side = 1) / 86400 AS buys,
+      sum(exp(-0.6931471805599453 * (a.us - b.us) / 8.64e10)) FILTER (b.side = -1) / 86400 AS sells FROM tape a LEFT JOIN tape b ON a.bond = b.bond AND b.us < a.us AND b.side != 0 GROUP BY a.id)
+    SELECT id, CAST(format('{:.8e}', buys) AS DOUBLE) AS buy_intensity, CAST(format('{:.8e}', sells) AS DOUBLE) AS sell_intensity FROM sums"""
+)
+def a3_intensity_full(spark: SparkSession, d: str) -> DataFrame:
+    """Decayed buys and sells a second over all of the bond's history, half-life a day; NULL before the first of a side. To nine digits, as old sums are small."""
+    sides = {"buy_intensity": F.when(F.col("side") == 1, 1.0), "sell_intensity": F.when(F.col("side") == -1, 1.0)}
+    rows = W.decayed_history(tape(spark, d), "bond", "us", DAY, sides)
+    return rows.select("id", *[F.when(F.col(n).isNotNull(), F.format_string("%.8e", n).cast("double")).alias(n) for n in sides])
+
+
 @query(
     TAPE
     + """ SELECT a.id, arg_max(b.side, b.us) AS last_side, round((a.us - max(b.us)) / 1e6, 3) AS seconds_since FROM tape a LEFT JOIN tape b ON a.bond = b.bond AND b.us < a.us AND b.side != 0 GROUP BY a.id, a.us"""
