@@ -77,6 +77,23 @@ def notional_clock(df: DataFrame, key: str, us: str, size: str, tie: list[str],
     return df.withColumn("_c", state).select(key, us, *tie, F.when(F.col("_c.s") >= amount, F.col("_c.n")).alias("events_needed"))
 
 
+def notional_clock_full(df: DataFrame, key: str, us: str, size: str, tie: list[str], amount: float) -> DataFrame:
+    """How many rows, counted back from each row over all of the key's history, it takes until their absolute size is ``amount``.
+
+    The row that crosses counts; NULL only where the whole history does not suffice. The walk ends behind the last row whose
+    running total is at most the own total less ``amount``; both totals are merged in one window, so no pair is formed.
+    Sizes are summed as decimals with twelve places, so that no total depends on the order of adding.
+    """
+    exact = F.coalesce(F.abs(F.col(size)).cast("decimal(26,12)"), F.lit(0).cast("decimal(26,12)"))
+    order = Window.partitionBy(key).orderBy(us, *tie)
+    rows = df.select(key, us, *tie, F.row_number().over(order).alias("_row"), F.sum(exact).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("decimal(37,12)").alias("_total"))
+    mark = F.struct(F.col("_total").alias("s"), F.col("_row").alias("at"))
+    ask = F.struct((F.col("_total") - F.lit(amount).cast("decimal(26,12)")).cast("decimal(37,12)").alias("s"), F.lit(None).cast("int").alias("at"))
+    merged = rows.withColumn("_m", F.explode(F.array(mark, ask))).withColumns({"_s": F.col("_m.s"), "_at": F.col("_m.at")})
+    merged = merged.withColumn("_before", F.max("_at").over(Window.partitionBy(key).orderBy("_s")))
+    return merged.where("_at IS NULL").select(key, us, *tie, F.when(F.col("_s") >= 0, F.col("_row") - F.coalesce("_before", F.lit(0))).alias("events_needed"))
+
+
 #: Half-lives a chunk of time, and how many chunks back a weight can still be told from 0 in a double (2 to the -1075).
 CHUNK, FAR = 16, 69
 

@@ -97,6 +97,17 @@ def clock_notional(spark: SparkSession, d: str) -> DataFrame:
     return W.notional_clock(tape(spark, d), "bond", "us", "amount", ["id"], 300.0, 20)
 
 
+@query(
+    TAPE
+    + """, back AS (SELECT a.bond, a.us, a.id, row_number() OVER (PARTITION BY a.id ORDER BY b.us DESC, b.id DESC) AS k, sum(CAST(abs(b.amount) AS DECIMAL(26,12))) OVER (PARTITION BY a.id ORDER BY b.us DESC, b.id DESC) AS s
+      FROM tape a JOIN tape b ON a.bond = b.bond AND (b.us, b.id) <= (a.us, a.id))
+    SELECT bond, us, id, CAST(min(k) FILTER (s >= 300) AS INT) AS events_needed FROM back GROUP BY ALL"""
+)
+def clock_notional_full(spark: SparkSession, d: str) -> DataFrame:
+    """clock_notional without its limit of twenty rows."""
+    return W.notional_clock_full(tape(spark, d), "bond", "us", "amount", ["id"], 300.0)
+
+
 @query(
     """SELECT l_partkey, d AS us, l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_quantity,
       (SELECT least(count(*), 5) FROM t b WHERE b.l_partkey = a.l_partkey AND b.d < a.d) AS n_prior,

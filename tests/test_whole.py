@@ -29,3 +29,20 @@ def test_a3_intensity_full(spark, tmp_path):
             want = sum(2.0 ** (-a / day) for a in ages) / day if ages else None
             # past 2^-1022 a double has fewer digits
             assert got[i][name] == (want if want is None else pytest.approx(want, rel=1e-8 if want > 1e-300 else 1e-2, abs=1e-322)), (i, name)
+
+
+def test_clock_notional_full(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(rng.randrange(5000), 1, "view", rng.choice([None, 0.0, 0.1, 1.25, 7.0, -3.3])) for _ in range(400)]
+    rows += [(n, 2, "view", 10.0) for n in range(60)] + [(70, 2, "view", 300.0), (71, 2, "view", None)]
+    got = {r.id: r.events_needed for r in entry.queries()["clock_notional_full"](spark, events(spark, tmp_path, rows)).collect()}
+    assert len(got) == len(rows)
+    for i, (s, b, _, _) in enumerate(rows):
+        back, total, want = sorted(((t, j) for j, (t, c, _, _) in enumerate(rows) if c == b and (t, j) <= (s, i)), reverse=True), 0, None
+        for n, (_, j) in enumerate(back, 1):
+            total += round(abs(rows[j][3] or 0.0) * 100)
+            if total >= 30_000:
+                want = n
+                break
+        assert got[i] == want
+    assert max(v for v in got.values() if v) > 20
