@@ -62,11 +62,20 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return skew.heavy_keys(table(spark, d, "source_events"), kinds, "event_id", percent=4).select("key_kind", "key_name")
 
 
+def _statistics(spark: SparkSession, d: str, key: str) -> DataFrame:
+    events = rolling.once(table(spark, d, "source_events"), "event_id", key, "notional")
+    stats = skew.key_statistics(events, key, "notional", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    return stats.select(key, "n_rows", F.round("total", 2).alias("total"), "n_distinct", "mode", *[F.round(p, 4).alias(p) for p in ("p25", "p50", "p75")])
+
+
 def p5_statistics(spark: SparkSession, d: str) -> DataFrame:
     """Per bond: events, notional, distinct notionals, their mode and exact quartiles."""
-    events = rolling.once(table(spark, d, "source_events"), "event_id", "source_bond_id", "notional")
-    stats = skew.key_statistics(events, "source_bond_id", "notional", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
-    return stats.select("source_bond_id", "n_rows", F.round("total", 2).alias("total"), "n_distinct", "mode", *[F.round(p, 4).alias(p) for p in ("p25", "p50", "p75")])
+    return _statistics(spark, d, "source_bond_id")
+
+
+def p5_issuer_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """The same per issuer."""
+    return _statistics(spark, d, "source_issuer_id")
 
 
 def _trailing(spark: SparkSession, d: str) -> DataFrame:
@@ -89,7 +98,7 @@ def p7_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (p1_found, p1_state, p1_patched, p3_found, p3_revisions, p4_found, p4_features, p5_found, p5_statistics, p7_found, p7_totals)
+    f.__name__: f for f in (p1_found, p1_state, p1_patched, p3_found, p3_revisions, p4_found, p4_features, p5_found, p5_statistics, p5_issuer_statistics, p7_found, p7_totals)
 }
 
 _CHANGES = """
@@ -186,3 +195,4 @@ SQL = {
     + """SELECT source_bond_id, strftime(day, '%Y-%m-%d') AS day, CAST(n7 AS BIGINT) AS count_7, CAST(n30 AS BIGINT) AS count_30,
          round(t7, 4) AS total_7, round(t7 / 7, 4) AS per_day_7, round(t30, 4) AS total_30, round(t30 / 30, 4) AS per_day_30 FROM sums""",
 }
+SQL["p5_issuer_statistics"] = SQL["p5_statistics"].replace("source_bond_id", "source_issuer_id")

@@ -46,3 +46,12 @@ def test_clock_notional_full(spark, tmp_path):
                 break
         assert got[i] == want
     assert max(v for v in got.values() if v) > 20
+
+
+def test_p5_issuer_statistics(spark, tmp_path):
+    rows = [(1, "b", "i", 5.0), (1, "b", "i", 5.0), (2, "c", "i", 5.0), (3, "c", "i", 2.0), (4, None, "j", None), (5, "b", None, 9.0), (None, "b", "i", 1.0)]
+    spark.createDataFrame(rows, "event_id long, source_bond_id string, source_issuer_id string, notional double").write.parquet(f"{tmp_path}/source_events.parquet")
+    got = {r.source_issuer_id: r for r in entry.queries()["p5_issuer_statistics"](spark, str(tmp_path)).collect()}
+    assert set(got) == {"i", "j"}
+    assert (got["i"].n_rows, got["i"].total, got["i"].n_distinct, got["i"].mode, got["i"].p50) == (3, 12.0, 2, 5.0, 5.0)
+    assert (got["j"].n_rows, got["j"].total, got["j"].n_distinct, got["j"].mode, got["j"].p50) == (1, None, 0, None, None)
