@@ -38,8 +38,8 @@ class Plan:
     least: int = 30
     one_in: int = 8
     window: int = 24
-    stride: int = 4
-    walks: int = 4
+    stride: int = 2
+    walks: int = 6
     samples: int = 2
     steps: int = 44
     drawn: int = 6
