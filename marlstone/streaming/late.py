@@ -5,20 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.operators.late import HOUR_US, LATENESS_HOURS
+
 
 def hourly_totals(trades: DataFrame, lateness: str = "2 hours") -> DataFrame:
     """Trades and notional per bond and hour of event time, from a stream (or table) of ``trace_trades`` rows.
 
-    The watermark drops what comes later than ``lateness`` behind the latest event time, and with it old state. Copies of
-    a trade within the watermark count once. Rows without bond or event time are left out; null or NaN notional adds 0.
+    What counts is told by arrival, as in the batch: a trade's receive_time, else publication_time, must lie before its
+    hour's end plus ``LATENESS_HOURS``. ``lateness`` only says how long state is kept: an hour is dropped once a trade that counts
+    is of an hour more than that past its end, so nothing in time is lost while rows come in order of arrival and none arrives before its event.
+    Copies of a trade count once. Rows without id, bond, event time or arrival are left out; null or NaN notional adds 0.
     In append mode an hour comes out once closed, in update mode with every correction.
     """
-    rows = trades.where("bond_id IS NOT NULL AND source_event_time IS NOT NULL AND trade_id IS NOT NULL")
+    begin = F.floor(F.unix_micros(F.col("source_event_time").cast("timestamp")) / HOUR_US).cast("long") * HOUR_US
+    arrival = F.unix_micros(F.coalesce("receive_time", "publication_time").cast("timestamp"))
+    rows = trades.where("bond_id IS NOT NULL AND source_event_time IS NOT NULL AND trade_id IS NOT NULL").where(arrival < begin + (1 + LATENESS_HOURS) * HOUR_US).withColumn("hour", F.timestamp_micros(begin))
     if rows.isStreaming:
-        rows = rows.withWatermark("source_event_time", lateness)
+        rows = rows.withWatermark("hour", f"{lateness} 60 minutes")  # an hour is named by its start
     amount = F.coalesce(F.nanvl("notional", F.lit(0.0)), F.lit(0.0))
-    once = rows.dropDuplicates(["trade_id", "source_event_time"])
-    return once.groupBy(F.window("source_event_time", "1 hour").alias("w"), "bond_id").agg(F.count(F.lit(1)).alias("n_trades"), F.sum(amount).alias("notional")).select("bond_id", F.col("w.start").alias("hour"), "n_trades", "notional")
+    once = rows.dropDuplicates(["trade_id", "bond_id", "source_event_time", "notional", "hour"])
+    return once.groupBy("bond_id", "hour").agg(F.count(F.lit(1)).alias("n_trades"), F.sum(amount).alias("notional"))
 
 
 def apply_changes(state: DataFrame, batch: DataFrame, **columns) -> DataFrame:
