@@ -13,17 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def hot_keys(df: DataFrame, key: str, *, share: float = 0.02, fraction: float = 0.02, least: int = 50) -> list:
-    """Keys that hold about ``share`` of the rows or more, at most 1 / share of them.
-
-    They are told from a random sample. A key missed or named in error changes only how work is spread, never a result.
-    """
-    counts = df.select(key).sample(fraction, seed=7).where(F.col(key).isNotNull()).groupBy(key).count()
-    top = counts.orderBy(F.desc("count")).limit(int(2 / share)).collect()
-    floor = max(least, share * sum(r["count"] for r in top))
-    return [r[key] for r in top if r["count"] >= floor]
-
-
 def value_frequencies(df: DataFrame, keys: Sequence[str], value: str | Sequence[str], weight: str | None = None) -> DataFrame:
     """One row per key and value with its ``freq``. Null keys and null values are kept as such; a caller filters them.
 

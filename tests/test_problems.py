@@ -40,15 +40,20 @@ def replayed(rows, partial):
 
 
 @pytest.mark.parametrize("partial", [False, True])
-@pytest.mark.parametrize("ids,hot", [(40, 2.0), (3, 0.02)])
-def test_replay(spark, partial, ids, hot, monkeypatch):
+@pytest.mark.parametrize("ids", [40, 3])
+def test_replay(spark, partial, ids):
     rows = feed(ids, 400, ids)
-    if hot < 1:  # the stripes of a hot key
-        monkeypatch.setattr(replay, "hot_keys", lambda *a, **k: ["e0", "e2"])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
     try:
-        out = replay.replay(spark.createDataFrame(rows, CHANGES), columns=["a", "b"], partial=partial, stripes=5)
+        changes = spark.createDataFrame(rows, CHANGES).repartition(5)
+        out = replay.replay(changes, columns=["a", "b"], partial=partial)
         assert {tuple(r) for r in out.collect()} == replayed(rows, partial)
+        # what is left of two halves of the feed, of interleaved sequences, has the whole's outcome
+        halves = [replay.compacted(changes.where(F.col("sequence") % 2 == i), columns=["a", "b"], partial=partial) for i in (0, 1)]
+        both = halves[0].unionByName(halves[1])
+        assert {tuple(r) for r in replay.replay(both, columns=["a", "b"], partial=partial).collect()} == replayed(rows, partial)
+        settled = replay.compacted(both, columns=["a", "b"], partial=partial, settled=max(r[2] for r in rows))
+        assert settled.where("action = 'cancel'").count() == 0 and {tuple(r) for r in replay.replay(settled, columns=["a", "b"], partial=partial).collect()} == replayed(rows, partial)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
