@@ -25,10 +25,12 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
 def shared_checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage through the folder the cluster names in spark.checkpoint.dir.
 
-    Only where that is unset (tests on one machine) a temporary folder is set.
+    Only where that is unset and the session runs on one machine, as in tests, a temporary folder is set.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
