@@ -38,24 +38,43 @@ def p2_gaps(spark: SparkSession, d: str) -> DataFrame:
 PERCENTILES = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
 
 
-def _sketches(spark: SparkSession, d: str) -> DataFrame:
-    """Sketches per bond and month, as separate files would give them; events without a time make a month of their own."""
-    month = F.coalesce(F.date_format("timestamp_utc", "yyyy-MM"), F.lit("none")).alias("month")
-    return sketch.build(once(table(spark, d, "source_events"), "event_id", "source_bond_id", "notional", month), ["source_bond_id", "month"], "notional")
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct events with their day; those without a time make a day of their own."""
+    day = F.coalesce(F.date_format("timestamp_utc", "yyyy-MM-dd"), F.lit("none")).alias("day")
+    return once(table(spark, d, "source_events"), "event_id", "source_bond_id", "notional", day)
+
+
+def p6_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Per bond and day, and per bond over all days: sketches of single days, inverted, and added up and inverted."""
+    days = sketch.build(_events(spark, d), ["source_bond_id", "day"], "notional")
+    both = days.unionByName(sketch.merge(days.drop("day")).withColumn("day", F.lit("all")))
+    return sketch.percentiles(both, PERCENTILES)
 
 
 def p6_sketches(spark: SparkSession, d: str) -> DataFrame:
-    """The form that can be combined: the cells of each bond's and month's sketch."""
-    return _sketches(spark, d)
+    """The form that can be combined: each bond's and day's cells."""
+    return sketch.build(_events(spark, d), ["source_bond_id", "day"], "notional")
 
 
-def p6_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Per bond, over all months: the months' sketches added up and inverted."""
-    return sketch.percentiles(sketch.merge(_sketches(spark, d).drop("month")), PERCENTILES)
+def p6_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Per bond, how many percentiles of the merged sketches lie outside their bound, and the largest error of rank beyond
+    the encoding's: ranks are counted over all events, reduced to distinct notionals first."""
+    events = _events(spark, d).where("source_bond_id IS NOT NULL AND notional IS NOT NULL AND NOT isnan(notional)")
+    merged = sketch.percentiles(sketch.merge(sketch.build(events, ["source_bond_id", "day"], "notional").drop("day")), PERCENTILES)
+    values = events.groupBy("source_bond_id", "notional").agg(F.count(F.lit(1)).alias("freq")).join(merged, "source_bond_id")
+    slack = lambda p: F.col("value_error") * (1 + F.abs(p)) * 1.000001
+    counts = [
+        F.sum(F.when(condition, F.col("freq")).otherwise(0)).alias(f"{side}_{p}")
+        for p in PERCENTILES for side, condition in (("under", F.col("notional") < F.col(p) - slack(p)), ("upto", F.col("notional") <= F.col(p) + slack(p)))
+    ]
+    ranks = values.groupBy("source_bond_id", "n", "rank_error").agg(*counts)
+    gap = lambda p, q: F.greatest((F.col(f"under_{p}") - F.floor(F.col("n") - 1) * q) / F.col("n"), (F.floor((F.col("n") - 1) * q) + 1 - F.col(f"upto_{p}")) / F.col("n"), F.lit(0.0))
+    off = F.array(*[gap(p, F.lit(q)) for p, q in PERCENTILES.items()])
+    return ranks.withColumn("off", off).select("source_bond_id", "n", F.size(F.filter("off", lambda x: x > F.col("rank_error"))).alias("violations"), F.array_max("off").alias("largest"))
 
 
-def p6_monthly(spark: SparkSession, d: str) -> DataFrame:
-    return sketch.percentiles(_sketches(spark, d), PERCENTILES)
+def p6_bounds(spark: SparkSession, d: str) -> DataFrame:
+    return p6_violations(spark, d).drop("largest")
 
 
 def _leaked(spark: SparkSession, d: str) -> DataFrame:
@@ -104,7 +123,7 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redact(table(spark, d, "documents"), table(spark, d, "given_names"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_gaps, p6_sketches, p6_percentiles, p6_monthly, p8_found, p8_report, p9_mix, p9_shares, p10_found, p10_redacted)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_gaps, p6_percentiles, p6_sketches, p6_violations, p6_bounds, p8_found, p8_report, p9_mix, p9_shares, p10_found, p10_redacted)}
 
 _NEAREST = """
 WITH trades AS (
@@ -119,7 +138,30 @@ WITH trades AS (
 )
 """
 
+_CODES = """
+WITH once AS (
+  SELECT DISTINCT event_id, source_bond_id, notional AS v, coalesce(strftime(timestamp_utc AT TIME ZONE 'UTC', '%Y-%m-%d'), 'none') AS day FROM source_events
+  WHERE event_id IS NOT NULL AND source_bond_id IS NOT NULL AND notional IS NOT NULL AND NOT isnan(notional)
+)
+"""
+
+
+def _picked(name: str, q: float) -> str:
+    return f"codes[CAST(floor({q} * (len(codes) - 1)) AS BIGINT) + 1] AS c_{name}"
+
+
+def _decoded(name: str) -> str:
+    return f"sign(c_{name}) * CASE WHEN abs(c_{name}) < 1 THEN 0 ELSE pow(2, (abs(c_{name}) + 0.5) / 8192) - 1 END AS {name}"
+
+
 SQL = {
+    # holds while every bond keeps its codes, as at a scale of 0.01; beyond, rank_error is above 0 and p6_bounds holds
+    "p6_percentiles": _CODES
+    + f""", sizes AS (SELECT *, sign(v) * floor(log2(abs(v) + 1) * 8192) AS c FROM once),
+    grouped AS (SELECT source_bond_id, day, list_sort(list(c)) AS codes FROM (SELECT * FROM sizes UNION ALL SELECT * REPLACE ('all' AS day) FROM sizes) GROUP BY ALL),
+    picked AS (SELECT source_bond_id, day, CAST(len(codes) AS BIGINT) AS n, {', '.join(_picked(p, q) for p, q in PERCENTILES.items())} FROM grouped)
+    SELECT source_bond_id, day, n, {', '.join(map(_decoded, PERCENTILES))}, 0.0::DOUBLE AS rank_error, pow(2, 0.5 / 8192) - 1 AS value_error FROM picked""",
+    "p6_bounds": _CODES + "SELECT source_bond_id, CAST(count(*) AS BIGINT) AS n, 0 AS violations FROM once GROUP BY ALL",
     "p2_found": _NEAREST + "SELECT snapshot_id, trade_id FROM best",
     "p2_gaps": _NEAREST + "SELECT CAST(floor(gap_us / 60000000) AS BIGINT) AS minute, count(*) AS trades FROM best GROUP BY ALL",
 }

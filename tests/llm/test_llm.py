@@ -28,27 +28,33 @@ def test_nearest(spark, tick):
     assert nearest.nearest(left.limit(0), right.withColumnRenamed("id", "qid").limit(0), **ask).collect() == []
 
 
-def test_sketch(spark):
+@pytest.mark.parametrize("shape", [sketch.Dyadic(), sketch.Dyadic(bits=14, width=128)])
+@pytest.mark.parametrize("most", [None, 100])
+def test_sketch(spark, shape, most):
     rng = np.random.default_rng(1)
     values = np.concatenate([rng.lognormal(8, 2, 20_000), -rng.lognormal(3, 1, 3_000), np.zeros(500)])
     rows = [("a", float(v), i % 3) for i, v in enumerate(values)] + [("b", 5.0, 0), ("b", None, 0), ("b", float("nan"), 0), (None, 1.0, 0)]
-    df = spark.createDataFrame(rows, "k string, v double, part int").withColumn("weight", F.lit("clash"))
-    shape, wanted = sketch.Dyadic(), {f"p{p}": p / 100 for p in (1, 10, 25, 50, 75, 90, 99)}
-    whole = sketch.build(df, ["k"], "v")
-    parts = [sketch.build(df.where(F.col("part") == i), ["k"], "v") for i in range(3)]
-    assert {tuple(r) for r in sketch.merge(*parts).collect()} == {tuple(r) for r in whole.collect()}
+    df = spark.createDataFrame(rows, "k string, v double, part int").withColumn("_large", F.lit("clash"))
+    wanted = {f"p{p}": p / 100 for p in (1, 10, 25, 50, 75, 90, 99)}
+    ask = dict(shape=shape, most=most)
+    whole = sketch.build(df, ["k"], "v", **ask).cache()
+    parts = [sketch.build(df.where(F.col("part") == i), ["k"], "v", **ask) for i in range(3)]
+    assert {tuple(r) for r in sketch.merge(*parts, **ask).collect()} == {tuple(r) for r in whole.collect()}
     assert whole.groupBy("k").count().agg(F.max("count")).first()[0] <= shape.cells
-    got = {r.k: r for r in sketch.percentiles(whole, wanted).collect()}
+    got = {r.k: r for r in sketch.percentiles(whole, wanted, shape).collect()}
     assert set(got) == {"a", "b"} and got["a"].n == len(values) and got["b"].p50 == pytest.approx(5, rel=0.01)
+    assert got["b"].rank_error == 0 and (most is None or 0 < got["a"].rank_error < 0.1)
     ordered = np.sort(values)
     for name, p in wanted.items():
-        v, slack = getattr(got["a"], name), got["a"].value_error
-        low, high = (np.searchsorted(ordered, v - s * slack * (1 + abs(v))) / len(values) for s in (1, -1))
-        assert low - got["a"].rank_error <= p <= high + got["a"].rank_error
-    # deletions leave the sketch of what remains
-    gone = sketch.merge(whole, sketch.build(df.where("part > 0"), ["k"], "v", weight=F.lit(-1)))
-    assert {tuple(r) for r in gone.collect()} == {tuple(r) for r in parts[0].collect()}
-    assert sketch.percentiles(sketch.build(df.limit(0), ["k"], "v"), wanted).collect() == []
+        v, slack = getattr(got["a"], name), got["a"].value_error * 1.000001
+        low, high = (np.searchsorted(ordered, v - s * slack * (1 + abs(v)), side) / len(values) for s, side in ((1, "left"), (-1, "right")))
+        assert low - got["a"].rank_error <= p <= high + got["a"].rank_error + 1e-4
+    # deletions leave the sketch of what remains, whether its codes were kept or not
+    minus = sketch.build(df.where("part > 0"), ["k"], "v", weight=F.lit(-1), **ask)
+    gone, first = sketch.merge(whole, minus, shape=shape, most=0), sketch.merge(parts[0], shape=shape, most=0)
+    assert {tuple(r) for r in gone.collect()} == {tuple(r) for r in first.collect()}
+    assert sketch.percentiles(sketch.build(df.limit(0), ["k"], "v", **ask), wanted, shape).collect() == []
+    whole.unpersist()
 
 
 def words(rng, n):
