@@ -116,18 +116,17 @@ def _fitted(cells: DataFrame, shape: Dyadic, most: int | None) -> DataFrame:
     # a code's updates, as rows: where a level begins, and what its hash is made with (nothing where it is exact)
     updates = [(level, base, 0, 0) for level, base in shape.layout() if shape.exact(level)]
     updates += [(level, base + row * shape.width, _factor(level, row, shape.seed), row + 1) for level, base in shape.layout() if not shape.exact(level) for row in range(shape.depth)]
-    plan = F.array(*[F.struct(F.lit(u[0]).alias("_level"), F.lit(u[1]).alias("_base"), F.lit(u[2]).cast("long").alias("_a"), F.lit(u[3]).cast("long").alias("_r")) for u in updates])
-    turned = marked.where(F.col("_large") & (F.col("cell") < 0)).select(*keys, F.col("weight").alias("_w"), (F.col("cell") + F.lit(2**shape.bits)).alias("_code"), F.inline(plan))
+    row_of = lambda u: F.struct(F.lit(u[0]).alias("_level"), F.lit(u[1]).alias("_base"), F.lit(u[2]).cast("long").alias("_a"), F.lit(u[3]).cast("long").alias("_r"))
+    turned = F.coalesce(F.col("_large") & (F.col("cell") < 0), F.lit(False))
+    rows = marked.select(*keys, F.col("cell").alias("_cell"), F.col("weight").alias("_w"), F.inline(F.when(turned, F.array(*map(row_of, updates))).otherwise(F.array(row_of((-1, 0, 0, 0))))))
     mask = f"{2**31 - 1}L"
-    turned = turned.withColumn("_prefix", F.expr("shiftright(_code, _level)")).withColumn("_y", F.expr(f"(_prefix * _a + 374761393L * _r) & {mask}"))
-    turned = turned.withColumn("_y", F.expr(f"((_y ^ shiftright(_y, 15)) * 73244475L) & {mask}")).withColumn("_y", F.expr("_y ^ shiftright(_y, 13)"))
-    turned = turned.select(
+    rows = rows.withColumn("_prefix", F.expr(f"CASE WHEN _level < 0 THEN _cell ELSE shiftright(_cell + {2**shape.bits}, _level) END")).withColumn("_y", F.expr(f"(_prefix * _a + 374761393L * _r) & {mask}"))
+    rows = rows.withColumn("_y", F.expr(f"((_y ^ shiftright(_y, 15)) * 73244475L) & {mask}")).withColumn("_y", F.expr("_y ^ shiftright(_y, 13)"))
+    rows = rows.select(
         *keys, F.expr(f"CAST(_base + CASE WHEN _r = 0 THEN _prefix ELSE _y % {shape.width} END AS INT)").alias("cell"),
         F.expr("CASE WHEN _r = 0 THEN _w ELSE _w * (1 - 2 * (shiftright(_y, 20) & 1L)) END").alias("weight"),
     )
-    sketched = turned.unionByName(marked.where(F.col("_large") & (F.col("cell") >= 0)).select(*keys, "cell", "weight"))
-    sketched = sketched.groupBy(*keys, "cell").agg(F.sum("weight").alias("weight")).where("weight != 0")
-    return marked.where("_large IS NULL").select(*keys, "cell", "weight").unionByName(sketched)
+    return rows.groupBy(*keys, "cell").agg(F.sum("weight").alias("weight")).where("weight != 0")
 
 
 def _of_codes(code: np.ndarray, weight: np.ndarray, starts: np.ndarray, qs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
