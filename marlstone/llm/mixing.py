@@ -58,6 +58,15 @@ def _progress(share: Column, schedule: Sequence[tuple[float, float]]) -> Column:
     return out
 
 
+def _reached(progress: Column, schedule: Sequence[tuple[float, float]]) -> Column:
+    """Share of the schedule's whole integral reached at ``progress``."""
+    out, whole = F.lit(0.0), sum((w0 + w1) / 2 * (x1 - x0) for (x0, w0), (x1, w1) in zip(schedule, schedule[1:]))
+    for (x0, w0), (x1, w1) in zip(schedule, schedule[1:]):
+        u = F.least(F.greatest(progress - x0, F.lit(0.0)), F.lit(x1 - x0))
+        out = out + u * (w0 + (w1 - w0) / (x1 - x0) * u / 2)
+    return out / whole
+
+
 def check_schedule(schedule: Sequence[tuple[float, float]]) -> None:
     xs, ws = zip(*schedule)
     if xs[0] != 0 or xs[-1] != 1 or any(a >= b for a, b in zip(xs, xs[1:])) or min(ws) < 0 or all(w == 0 for w in ws):
@@ -92,11 +101,13 @@ def mix(
     seed: int = 17,
     buckets: int = 1024,
 ) -> DataFrame:
-    """The mix: one row per use of a record (doc_id, source, copy, tokens, position), range-sorted by position in [0, 1).
+    """The mix: one row per use of a record (doc_id, source, copy, tokens, progress, position), range-sorted by position.
 
     ``targets`` (source, target_share, max_repeats) has a row per source: few, and read on the driver. A source's
     records come in a seeded random order, pass after pass; a use's place in its source's tokens is its share of the
-    source's demand, and the inverse of the integrated schedule turns that into its position. The order within a source
+    source's demand, and the inverse of the integrated schedule turns that into progress from 0 to 1. Its position is the
+    number of tokens that all sources together demand up to that progress, so a unit of position is a token of the mix
+    wherever it lies. A source without a schedule comes evenly in progress. The order within a source
     is cumulated inside hash buckets chained by their totals, so a source with a third of all rows is spread.
     Source names compare without case and blanks. Records with a null or unlisted source, or without tokens, take no
     part. Where a pass is cut, a record is used if at least half of it is asked. ``sized`` is read several times.
@@ -123,14 +134,17 @@ def mix(
         return out
 
     size, asked = per_source({s: sizes[s] for s in need}), per_source(need)
-    placed = rows.join(F.broadcast(bases) if len(need) * buckets <= 100_000 else bases, ["_source", "_bucket"]).withColumn("_middle", middle)
+    placed = rows.join(bases, ["_source", "_bucket"]).withColumn("_middle", middle)
     passes = F.ceil((asked - F.col("_middle")) / size).cast("int")
     uses = placed.where(passes >= 1).withColumn("copy", F.explode(F.sequence(F.lit(1), passes)))
     share = (F.col("_middle") + (F.col("copy") - 1) * size) / asked
-    position = F.lit(None).cast("double")
+    progress, position = F.lit(None).cast("double"), F.lit(0.0)
     for s in need:
-        position = F.when(F.col("_source") == s, _progress(share, (schedules or {}).get(s, SCHEDULE))).otherwise(position)
-    out = uses.select(F.col("_doc").alias(doc_id), F.col("_source").alias("source"), "copy", F.col("_tokens").alias("tokens"), position.alias("position"))
+        schedule = (schedules or {}).get(s, SCHEDULE)
+        progress = F.when(F.col("_source") == s, _progress(share, schedule)).otherwise(progress)
+        position = position + F.lit(float(need[s])) * _reached(F.col("progress"), schedule)
+    out = uses.select(F.col("_doc").alias(doc_id), F.col("_source").alias("source"), "copy", F.col("_tokens").alias("tokens"), progress.alias("progress"))
+    out = out.withColumn("position", position)
     return out.repartitionByRange("position", doc_id, "copy").sortWithinPartitions("position", doc_id, "copy")
 
 

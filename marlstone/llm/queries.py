@@ -92,11 +92,16 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return items.join(counts, "item_id", "left").select("item_id", "suite", F.coalesce("documents", F.lit(0)).alias("documents"))
 
 
-#: Long rulings of the small sources later, the large court feeds evenly.
+#: Weights over the course of training: scans and notes early, digests and treaties late, the large court feeds nearly evenly.
 CURRICULUM = {
+    "appeal_portal": ((0.0, 0.9), (1.0, 1.1)),
+    "district_feed": ((0.0, 1.1), (1.0, 0.9)),
+    "tribunal_bulletin": ((0.0, 1.0), (0.5, 1.2), (1.0, 1.0)),
     "historic_scans": ((0.0, 1.5), (1.0, 0.5)),
     "arbitration_digest": ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5)),
     "lay_bench_notes": ((0.0, 2.0), (0.5, 0.5), (1.0, 0.5)),
+    "moot_archive": ((0.0, 1.5), (0.3, 1.0), (1.0, 0.6)),
+    "treaty_gazette": ((0.0, 0.0), (0.6, 1.0), (1.0, 1.0)),
 }
 
 

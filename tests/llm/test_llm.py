@@ -140,12 +140,17 @@ def test_mix(spark):
         assert shares[s].reached_share == pytest.approx(t / 0.95, abs=0.01) and shares[s].most_repeats <= shares[s].max_repeats
         assert shares[s].tokens == sum(r.tokens for r in rows if r.source == s)
     assert shares["gone"].tokens == 0 and shares["gone"].reached_share == 0
-    assert all(0 <= r.position <= 1 for r in rows) and len({(r.doc_id, r["copy"]) for r in rows}) == len(rows)
+    assert all(0 <= r.progress <= 1 for r in rows) and len({(r.doc_id, r["copy"]) for r in rows}) == len(rows)
     # the schedule's integral up to 0.5 is 0.5 of 1.25
-    early = sum(r.tokens for r in rows if r.source == "small" and r.position < 0.5) / shares["small"].tokens
+    early = sum(r.tokens for r in rows if r.source == "small" and r.progress < 0.5) / shares["small"].tokens
     assert early == pytest.approx(0.4, abs=0.03)
     positions = [r.position for r in mixed.toLocalIterator()]
     assert positions == sorted(positions)
+    # a unit of position is a token, wherever it lies: what comes before a position sums to it
+    total, done = sum(r.tokens for r in rows), 0
+    for r in sorted(rows, key=lambda r: r.position):
+        done += r.tokens
+        assert abs(done - r.position) <= 0.02 * total
     assert mixing.mix(sized.limit(0), targets, doc_id="doc_id", source="source").collect() == []
     with pytest.raises(ValueError):
         mixing.mix(sized, targets, doc_id="doc_id", source="source", total=10**9)
