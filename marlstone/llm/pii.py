@@ -23,19 +23,23 @@ from marlstone.llm import pii_labels
 KINDS = tuple(pii_labels.LABELS.values())
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 OPENING, INNER = [i for i, t in enumerate(TAGS) if t[0] == "B"], [i for i, t in enumerate(TAGS) if t[0] == "I"]
-TOKEN = re.compile(r"\n+|[^\W_]+|[^\w\s]|_")
+#: A token keeps one blank before it, which tells whether it is glued to the one before.
+TOKEN = re.compile(r"\n+| ?[^\W_]+| ?[^\w\s]| ?_")
 REACH = 3
 #: How words for ways end in the labelled table, as these are often one word with their name.
-STREET_ENDINGS = frozenset(s.lower().rstrip(".").split()[0][-3:] for s in pii_labels.STREETS["de"])
+STREET_ENDINGS = frozenset(s.rstrip(".")[-3:] for s in pii_labels.STREETS["de"][1])
 
 
 def word_features(word: str, given: frozenset[str], known: frozenset[str] | None) -> list[str]:
     """Shape, letter case, endings of ways and, for words among ``known``, identity. The first name list is one feature."""
+    glued, word = word[0] != " ", word.lstrip(" ")
     low = word.lower()
     shape = re.sub(r"[^\W\d_]", lambda m: "X" if m.group().isupper() else "x", re.sub(r"\d", "d", word))
     out = [f"s={re.sub(r'(x)x+|(X)X+', lambda m: (m.group(1) or m.group(2)) + '+', shape)}"]
     if known is None or low in known:
         out.append(f"w={low}")
+    if glued:
+        out += ["glued", f"glued={'a' if word.isalpha() else 'd' if word.isdigit() else low[:1]}"]
     if word.isalpha():
         out += ["alpha", f"len={min(len(word), 6)}"]
         out += [f"e3={low[-3:]}"] if len(low) > 4 and low[-3:] in STREET_ENDINGS else []
@@ -51,11 +55,14 @@ def word_features(word: str, given: frozenset[str], known: frozenset[str] | None
 
 #: Titles are no part of a name.
 TITLES = frozenset("dr me mme m mr ms mrs herr frau maître prof .".split())
+#: Words that a name has in lower case; another one inside it parts two names.
+PARTICLES = frozenset("van von der den de du des la le zu zur della di da dos bin al el ter ten o d l mac mc".split())
 MARKS = {".": 11, ",": 12, "-": 13, "'": 13, "’": 13}
 
 
 def word_class(word: str, given: frozenset[str], known: frozenset[str]) -> int:
     """One of 16 classes (0 is a gap); runs of four of them are features too."""
+    word = word.lstrip(" ")
     low = word.lower()
     if word.isalpha():
         if len(word) == 1 and word.isupper():
@@ -69,6 +76,8 @@ def word_class(word: str, given: frozenset[str], known: frozenset[str]) -> int:
     return 10 if any(c.isdigit() for c in word) else MARKS.get(word, 14)
 
 
+#: Runs seen less often in training tell nothing.
+RARE = 12
 #: Which four neighbours' classes make a run.
 RUNS = ((-1, 0, 1, 2), (-2, -1, 0, 1))
 
@@ -123,7 +132,7 @@ def _allowed() -> np.ndarray:
 
 
 @lru_cache(maxsize=4)
-def train(given_names: tuple[str, ...] = (), copies: int = 30, rounds: int = 10, batches: int = 10, decay: float = 3e-4, seed: int = 3) -> Model:
+def train(given_names: tuple[str, ...] = (), copies: int = 30, rounds: int = 10, batches: int = 10, decay: float = 1e-5, seed: int = 3) -> Model:
     """Fit by Adam on the conditional likelihood, in ``batches`` batches a round. The labelled table has each row ``copies`` times."""
     given = frozenset(g.lower() for g in given_names)
     sentences = []
@@ -144,9 +153,7 @@ def train(given_names: tuple[str, ...] = (), copies: int = 30, rounds: int = 10,
                 tags += [0] * len(part)
         if words:
             sentences.append((words, tags, first))
-    fixed = Counter(w.lower() for row in pii_labels.ROWS.split("\n") for w in TOKEN.findall(re.sub(r"\{\w\}|\\n", " ", row)))
-    often = Counter(w.lower() for s in sentences for w in set(s[0]))
-    known = frozenset(w for w, n in often.items() if (w in fixed and n >= copies // 2) or n >= 6 * copies) - given
+    known = pii_labels.LEXICON - given
     vocabulary = {w: i for i, w in enumerate(sorted({w for s in sentences for w in s[0]}), 1)}
     seen = Counter(f for w in vocabulary for f in word_features(w, given, known))
     features = {f: i for i, f in enumerate(["line", "edge", *sorted(f for f, n in seen.items() if n >= 8 or not f.startswith("e3"))])}
@@ -179,7 +186,11 @@ def train(given_names: tuple[str, ...] = (), copies: int = 30, rounds: int = 10,
         return out
 
     classes = np.array([0, *(word_class(x, given, known) for x in vocabulary)])[ids]
-    codes, kinds = zip(*[np.unique(c, return_inverse=True)[::-1] for c in _run_codes(classes)])
+    codes, kinds = [], []
+    for c in _run_codes(classes):
+        k, inverse, often = np.unique(c, return_inverse=True, return_counts=True)
+        codes.append(np.where((often >= RARE)[inverse.reshape(c.shape)], inverse.reshape(c.shape), len(k)))  # the last is for rare runs
+        kinds.append(k)
     ok, start = _allowed(), np.array([t[0] != "I" for t in TAGS])
     parts = []
     for p in range(batches):  # every batches-th passage, cut to its longest
@@ -188,10 +199,10 @@ def train(given_names: tuple[str, ...] = (), copies: int = 30, rounds: int = 10,
         both = m_[:, 1:]
         seen_pairs = np.zeros((tags, tags))
         np.add.at(seen_pairs, (g_[:, :-1][both], g_[:, 1:][both]), 1)
-        c_ = [c.reshape(ids.shape)[p::batches][:, cut][m_] for c in codes]
+        c_ = [c[p::batches][:, cut][m_] for c in codes]
         parts.append((m_, both, seen_pairs, g_[m_], [shifted(i_, o)[m_] for o in near], [shifted(l_, o)[m_] for o in near], c_))
     w, b = np.zeros((len(near), len(features), tags)), np.zeros((tags, tags))
-    r = [np.zeros((len(k), tags)) for k in kinds]
+    r = [np.zeros((len(k) + 1, tags)) for k in kinds]
     moments = [np.zeros_like(x) for x in (w, w, b, b, r[0], r[0], r[1], r[1])]
     for step in range(1, rounds * batches + 1):
         m_, both, seen_pairs, target, views, lines, c_ = parts[step % batches]
@@ -226,7 +237,9 @@ def train(given_names: tuple[str, ...] = (), copies: int = 30, rounds: int = 10,
         expected = (alpha[:, :-1][both].T @ right) * m
         pair_grad = np.where(ok, seen_pairs - expected, 0)
         rate = 0.1 * min(1.0, 2 * (1 - step / (rounds * batches + 1)))
-        run_grad = [np.stack([np.bincount(c, residual[:, tag], len(k)) for tag in range(tags)], 1) for c, k in zip(c_, kinds)]
+        run_grad = [np.stack([np.bincount(c, residual[:, tag], len(k) + 1) for tag in range(tags)], 1) for c, k in zip(c_, kinds)]
+        for x in run_grad:
+            x[-1] = 0
         for x, g, i in ((w, grad, 0), (b, pair_grad, 2), (r[0], run_grad[0], 4), (r[1], run_grad[1], 6)):
             g = g / count - decay * x
             moments[i] = 0.9 * moments[i] + 0.1 * g
@@ -237,7 +250,7 @@ def train(given_names: tuple[str, ...] = (), copies: int = 30, rounds: int = 10,
         b[:, OPENING] = into.mean(1, keepdims=True) + into.mean(0) - into.mean()
     runs = np.zeros((len(RUNS), 16**4, tags), np.float32)
     for i, k in enumerate(kinds):
-        runs[i, k] = r[i]
+        runs[i, k] = r[i][:-1]
     return Model(features, w.astype(np.float32), runs, np.where(ok, b, -1e4).astype(np.float32), given, known)
 
 
@@ -355,9 +368,7 @@ class Tagger:
             if len(own):
                 if spans:
                     matches = [m for m in TOKEN.finditer(text) if m.group()[0] != "\n"]
-                    words = [m.group() for m in matches]
-                else:
-                    words = [w for w in raw if w[0] != "\n"]
+                words = [w.lstrip(" ") for w in raw if w[0] != "\n"]
                 own_tags = tags[own + at]
                 cuts = np.flatnonzero((np.diff(own) != 1) | (own_tags[1:] % 2 == 1)) + 1
                 for part in np.split(own, cuts):
@@ -371,7 +382,7 @@ class Tagger:
                         continue
                     if spans:
                         real = [i for i in part if words[i].isalnum() or words[i] == "+" or (words[i] == "(" and i + 1 in part)]
-                        found.append((kind, matches[real[0]].start(), matches[real[-1]].end()))
+                        found.append((kind, matches[real[0]].end() - len(words[real[0]]), matches[real[-1]].end()))
                     else:
                         found.append((kind, key))
             out.append(found if spans else list(dict.fromkeys(found)))
@@ -382,14 +393,18 @@ class Tagger:
 def _plausible(kind: str, words: list[str], key: str) -> bool:
     """What every mention of its kind has: an exact check of form after the field's decision."""
     numbers = sum(c.isdigit() for c in key)
+    letters = max((len(w) for w in re.findall(r"[^\W\d_]+", " ".join(words))), default=0)
     if kind == "email":
         return len(key) >= 6 and ("@" in words or "at" in [w.lower() for w in words])
     if kind == "phone":
-        return 7 <= numbers <= 15
+        return 7 <= numbers <= 15 and not letters
     if kind == "id_number":
-        return numbers >= 6
+        return 6 <= numbers <= 15 and letters <= 3
     if kind == "street_address":
         return 1 <= numbers <= 7 and any(len(w) > 1 and w.isalpha() for w in words)
+    small = [w for w in words if w.isalpha() and w.islower()]
+    if len(small) < sum(w.isalpha() for w in words) and not PARTICLES.issuperset(small):
+        return False
     long = [w for w in words if len(w) > 2 and w[0].isalpha()]
     return bool(long) and 2 <= len([w for w in words if w[0].isalpha()]) <= 8
 
