@@ -301,7 +301,7 @@ class Tagger:
             begins = np.flatnonzero(line[low + o : high + o]) + low
             score[begins] += self.model.weights[o + REACH, 0]
         tags = self._decode(score, stream == 0)
-        return self._collect(texts, lists, stream, tags, spans)
+        return self._collect(texts, lists, np.flatnonzero(kept), tags, spans)
 
     def _decode(self, score: np.ndarray, gap: np.ndarray) -> np.ndarray:
         """Viterbi over whole texts, texts of like length together; gaps part them."""
@@ -317,7 +317,7 @@ class Tagger:
         sizes, i = (ends - starts)[order], 0
         while i < len(order):
             upto = i + 1  # what Viterbi keeps for a batch is bounded, but for a single text
-            while upto < len(order) and sizes[upto] * (upto + 1 - i) < 2_000_000:
+            while upto < len(order) and sizes[upto] * (upto + 1 - i) < 8_000_000:
                 upto += 1
             part, i = order[i:upto], upto
             begin, size = starts[part], ends[part] - starts[part]
@@ -357,49 +357,50 @@ class Tagger:
                     tag[low:] = np.where(inner, tag_now - 1 + held, np.where(tag_now == 0, to_o[t, low:], to_b[t, low:]))
         return tags
 
-    def _collect(self, texts: list[str], lists: list[list[str]], stream: np.ndarray, tags: np.ndarray, spans: bool) -> list[list[tuple]]:
-        out, at = [], 0
-        marked = np.flatnonzero(tags)
-        for text, raw in zip(texts, lists):
+    def _collect(self, texts: list[str], lists: list[list[str]], kept: np.ndarray, tags: np.ndarray, spans: bool) -> list[list[tuple]]:
+        """``kept``: where the tagged tokens are among all tokens of all texts, each text after a gap."""
+        at, marked = 0, np.flatnonzero(tags)
+        places, kinds = kept[marked], tags[marked]
+        bounds = np.searchsorted(places, np.cumsum([0] + [len(raw) + REACH for raw in lists]))
+        # a mention goes on where the next token, breaks of lines aside, is inside it
+        cut = np.concatenate([[True], (np.diff(marked) != 1) | (kinds[1:] % 2 == 1)]) if len(marked) else np.zeros(0, bool)
+        out = []
+        for i, (text, raw) in enumerate(zip(texts, lists)):
             at += REACH
-            n = len(raw) - sum(1 for w in raw if w[0] == "\n") if raw else 0
-            own = marked[np.searchsorted(marked, at) : np.searchsorted(marked, at + n)] - at
+            low, high = bounds[i], bounds[i + 1]
             found: list[tuple] = []
-            if len(own):
-                if spans:
-                    matches = [m for m in TOKEN.finditer(text) if m.group()[0] != "\n"]
-                words = [w.lstrip(" ") for w in raw if w[0] != "\n"]
-                own_tags = tags[own + at]
-                cuts = np.flatnonzero((np.diff(own) != 1) | (own_tags[1:] % 2 == 1)) + 1
-                for part in np.split(own, cuts):
-                    kind = KINDS[(int(tags[part[0] + at]) - 1) // 2]
+            if low < high:
+                matches = list(TOKEN.finditer(text)) if spans else []
+                for part in np.split(np.arange(low, high), np.flatnonzero(cut[low + 1 : high]) + 1):
+                    kind = KINDS[(int(kinds[part[0]]) - 1) // 2]
+                    own = (places[part] - at).tolist()
+                    words = [raw[j].lstrip(" ") for j in own]
                     if kind == "person_name":
-                        while len(part) and words[part[0]].lower() in TITLES:
-                            part = part[1:]
-                    pieces = [words[i] for i in part]
-                    key = "".join(c for w in pieces for c in w if c.isalnum()).lower()
-                    if not _plausible(kind, pieces, key):
+                        while words and words[0].lower() in TITLES:
+                            words, own = words[1:], own[1:]
+                    key = "".join(c for w in words for c in w if c.isalnum()).lower()
+                    if not _plausible(kind, words, key):
                         continue
                     if spans:
-                        real = [i for i in part if words[i].isalnum() or words[i] == "+" or (words[i] == "(" and i + 1 in part)]
-                        found.append((kind, matches[real[0]].end() - len(words[real[0]]), matches[real[-1]].end()))
+                        real = [j for j, w in enumerate(words) if w.isalnum() or w == "+" or (w == "(" and j + 1 < len(words))]
+                        first = matches[own[real[0]]]
+                        found.append((kind, first.end() - len(words[real[0]]), matches[own[real[-1]]].end()))
                     else:
                         found.append((kind, key))
             out.append(found if spans else list(dict.fromkeys(found)))
-            at += n
+            at += len(raw)
         return out
 
 
 def _plausible(kind: str, words: list[str], key: str) -> bool:
     """What every mention of its kind has: an exact check of form after the field's decision."""
     numbers = sum(c.isdigit() for c in key)
-    letters = max((len(w) for w in re.findall(r"[^\W\d_]+", " ".join(words))), default=0)
     if kind == "email":
         return len(key) >= 6 and ("@" in words or "at" in [w.lower() for w in words])
     if kind == "phone":
-        return 7 <= numbers <= 15 and not letters
+        return 7 <= numbers <= 15 and numbers == len(key)
     if kind == "id_number":
-        return 6 <= numbers <= 15 and letters <= 3
+        return 6 <= numbers <= 15 and not re.search(r"[^\W\d_]{4}", " ".join(words))
     if kind == "street_address":
         return 1 <= numbers <= 7 and any(len(w) > 1 and w.isalpha() for w in words)
     small = [w for w in words if w.isalpha() and w.islower()]
@@ -421,7 +422,7 @@ def _run(documents: DataFrame, given_names: DataFrame, doc_id: str, text: str, o
             begin = 0
             while begin < len(texts):
                 end, size = begin, 0
-                while end < len(texts) and size < 2_000_000:
+                while end < len(texts) and size < 4_000_000:
                     size += len(texts[end] or "")
                     end += 1
                 yield emit(batch.column("_doc").slice(begin, end - begin), texts[begin:end], tagger.mentions(texts[begin:end], spans), out.names)
