@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from marlstone.operators import buckets
+
 DAY = 86_400_000_000
 
 
@@ -33,12 +35,7 @@ def last_n(df: DataFrame, key: str, us: str, value: str, n: int, tie: list[str])
     Prefix sums are joined at the number of strictly earlier rows, so a row's cost does not depend on n. ``tie`` makes
     the order of rows at one instant total.
     """
-    order = Window.partitionBy(key).orderBy(us, *tie)
-    before = F.count(F.lit(1)).over(history(key, us))
-    seq = df.select(
-        key, us, *tie, before.alias("_prior"), F.row_number().over(order).alias("_row"),
-        F.sum(F.coalesce(F.col(value), F.lit(0.0))).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("_total"),
-    )
+    seq = buckets.numbered(df.select(key, us, *dict.fromkeys([*tie, value])), key, us, tie, {"_total": F.col(value)}).select(key, us, *tie, "_prior", "_row", "_total")
     totals = seq.select(F.col(key).alias("_k"), F.col("_row").alias("_at"), F.col("_total").alias("_sum"))
     end, begin = totals.alias("e"), totals.alias("b")
     low = F.col("_prior") - n
@@ -50,48 +47,36 @@ def last_n(df: DataFrame, key: str, us: str, value: str, n: int, tie: list[str])
 def as_of(left: DataFrame, right: DataFrame, key: str, us: str, value: str, *, strict: bool = False, forward: bool = False) -> DataFrame:
     """``left`` with the last (or, forward, the first) non-null ``value`` of ``right`` by then; several at one instant: the largest.
 
-    Both streams are tagged and merged in one window, so no pair is formed.
+    Both streams are tagged and merged in windows of key and bucket, so no pair is formed and no task holds a key. A left
+    row with a null key or time finds nothing.
     """
-    picked = right.where(F.col(value).isNotNull()).groupBy(key, us).agg(F.max(value).alias("_value"))
+    picked = right.where(F.col(value).isNotNull() & F.col(key).isNotNull() & F.col(us).isNotNull()).groupBy(key, us).agg(F.max(value).alias("_value"))
     merged = left.withColumn("_value", F.lit(None).cast(dict(picked.dtypes)["_value"])).withColumn("_left", F.lit(True)).unionByName(picked.withColumn("_left", F.lit(False)), allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy(us)
-    if forward:
-        found = F.first("_value", ignorenulls=True).over(w.rangeBetween(1 if strict else 0, Window.unboundedFollowing))
-    else:
-        found = F.last("_value", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, -1 if strict else 0))
-    return merged.withColumn(value, found).where("_left").drop("_left", "_value")
-
-
-def notional_clock(df: DataFrame, key: str, us: str, size: str, tie: list[str], amount: float, reach: int) -> DataFrame:
-    """How many of the last ``reach`` rows, counted back from each row, it takes until their absolute size is ``amount``.
-
-    The row that crosses counts; NULL where the rows at hand do not suffice.
-    """
-    w = Window.partitionBy(key).orderBy(us, *tie).rowsBetween(-(reach - 1), 0)
-    back = F.reverse(F.collect_list(F.abs(F.coalesce(F.col(size), F.lit(0.0)))).over(w))
-    state = F.aggregate(
-        back,
-        F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")),
-        lambda a, x: F.when(a["s"] >= amount, a).otherwise(F.struct((a["s"] + x).alias("s"), (a["n"] + 1).alias("n"))),
-    )
-    return df.withColumn("_c", state).select(key, us, *tie, F.when(F.col("_c.s") >= amount, F.col("_c.n")).alias("events_needed"))
+    timed = merged.where(F.col(us).isNotNull())
+    found = buckets.known(timed, key, us, F.col("_value"), strict=strict, forward=forward, name="_found")
+    untimed = merged.where(F.col(us).isNull() & F.col("_left")).withColumn("_found", F.col("_value"))
+    return found.where("_left").unionByName(untimed).withColumn(value, F.col("_found")).drop("_left", "_value", "_found")
 
 
-def notional_clock_full(df: DataFrame, key: str, us: str, size: str, tie: list[str], amount: float) -> DataFrame:
+def notional_clock(df: DataFrame, key: str, us: str, size: str, tie: list[str], amount: float) -> DataFrame:
     """How many rows, counted back from each row over all of the key's history, it takes until their absolute size is ``amount``.
 
     The row that crosses counts; NULL only where the whole history does not suffice. The walk ends behind the last row whose
     running total is at most the own total less ``amount``; both totals are merged in one window, so no pair is formed.
     Sizes are summed as decimals with twelve places, so that no total depends on the order of adding.
     """
-    exact = F.coalesce(F.abs(F.col(size)).cast("decimal(26,12)"), F.lit(0).cast("decimal(26,12)"))
-    order = Window.partitionBy(key).orderBy(us, *tie)
-    rows = df.select(key, us, *tie, F.row_number().over(order).alias("_row"), F.sum(exact).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("decimal(37,12)").alias("_total"))
+    exact = F.abs(F.col(size)).cast("decimal(26,12)")
+    rows = buckets.numbered(df.select(key, us, *tie, exact.alias("_size")), key, us, tie, {"_total": F.col("_size")})
+    rows = rows.select(key, us, *tie, "_row", F.col("_total").cast("decimal(37,12)").alias("_total"))
     mark = F.struct(F.col("_total").alias("s"), F.col("_row").alias("at"))
-    ask = F.struct((F.col("_total") - F.lit(amount).cast("decimal(26,12)")).cast("decimal(37,12)").alias("s"), F.lit(None).cast("int").alias("at"))
+    ask = F.struct((F.col("_total") - F.lit(amount).cast("decimal(26,12)")).cast("decimal(37,12)").alias("s"), F.lit(None).cast("long").alias("at"))
     merged = rows.withColumn("_m", F.explode(F.array(mark, ask))).withColumns({"_s": F.col("_m.s"), "_at": F.col("_m.at")})
-    merged = merged.withColumn("_before", F.max("_at").over(Window.partitionBy(key).orderBy("_s")))
-    return merged.where("_at IS NULL").select(key, us, *tie, F.when(F.col("_s") >= 0, F.col("_row") - F.coalesce("_before", F.lit(0))).alias("events_needed"))
+    # buckets of the running total, chained like those of time; their width is the amount asked
+    merged = merged.withColumn("_bucket", F.floor(F.col("_s") / amount).cast("long")).repartition(key, "_bucket")
+    merged = buckets.chain(merged, key, {"_top": F.max("_at")}, lambda w: {"_carry": F.max("_top").over(w)})
+    inside = F.max("_at").over(Window.partitionBy(key, "_bucket").orderBy("_s"))
+    merged = merged.withColumn("_before", F.greatest(inside, "_carry"))
+    return merged.where("_at IS NULL").select(key, us, *tie, F.when(F.col("_s") >= 0, F.col("_row") - F.coalesce("_before", F.lit(0))).cast("int").alias("events_needed"))
 
 
 #: Half-lives a chunk of time, and how many chunks back a weight can still be told from 0 in a double (2 to the -1075).
@@ -134,11 +119,14 @@ def decayed_history(df: DataFrame, key: str, us: str, half_life_us: int, values:
 
 def run_length(df: DataFrame, key: str, us: str, side: str, tie: list[str]) -> DataFrame:
     """Signed length of the run of one side that ends with each two-sided row."""
-    w = Window.partitionBy(key).orderBy(us, *tie)
-    rows = df.where(F.col(side).isin(-1, 1)).withColumn("_new", F.when(F.lag(side).over(w) == F.col(side), 0).otherwise(1))
-    rows = rows.withColumn("_island", F.sum("_new").over(w))
-    position = F.row_number().over(Window.partitionBy(key, "_island").orderBy(us, *tie))
-    return rows.select(key, us, *tie, (position * F.col(side)).alias("run_length"))
+    rows = buckets.numbered(df.where(F.col(side).isin(-1, 1)).select(key, us, side, *tie), key, us, tie)
+    order = Window.partitionBy(key, "_bucket").orderBy("_row")
+    mark = F.struct(F.col("_row").alias("r"), F.col(side).alias("s"))
+    rows = buckets.chain(buckets.placed(rows, key, us), key, {"_tail": F.max(mark)}, lambda w: {"_last": F.last("_tail").over(w)})
+    rows = rows.withColumn("_new", F.when(F.coalesce(F.lag(side).over(order), F.col("_last.s")) == F.col(side), None).otherwise(F.col("_row")))
+    rows = buckets.chain(rows, key, {"_begun": F.max("_new")}, lambda w: {"_since": F.max("_begun").over(w)})
+    begun = F.coalesce(F.max("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.col("_since"))
+    return rows.select(key, us, *tie, ((F.col("_row") - begun + 1) * F.col(side)).cast("int").alias("run_length"))
 
 
 def simple_operators(v: str, side: str, weight: str, us: str, w: WindowSpec, seconds: float) -> dict[str, Column]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators import buckets
 from marlstone.plans.reference import DAILY, TAPE, TRADES, daily
 from marlstone.sources.tables import finite, micros, plain_id, table
 from marlstone.sources.tape import tape, trades
@@ -61,14 +62,14 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     _SCORED
-    + """ SELECT CAST(floor(p * 10) AS BIGINT) AS bin, CAST(count(*) AS BIGINT) AS n, round(avg(p), 6) AS mean_score, round(avg(y), 6) AS rate,
-      round(avg(-(y * ln(greatest(p, 1e-6)) + (1 - y) * ln(greatest(1 - p, 1e-6)))), 6) AS log_loss FROM e GROUP BY bin"""
+    + """ SELECT CAST(least(floor(p * 10), 9) AS BIGINT) AS bin, CAST(count(*) AS BIGINT) AS n, round(CAST(sum(CAST(p AS DECIMAL(20, 12))) AS DOUBLE) / count(*), 9) AS mean_score, round(avg(y), 9) AS rate,
+      round(avg(-(y * ln(greatest(p, 1e-6)) + (1 - y) * ln(greatest(1 - p, 1e-6)))), 6) AS log_loss, round(avg((p - y) * (p - y)), 6) AS brier FROM e GROUP BY bin"""
 )
 def metric_calibration(spark: SparkSession, d: str) -> DataFrame:
     """Scores as probabilities in ten bins: mean score, rate and logarithmic loss, from which calibration error follows."""
     p, y = F.col("p"), F.col("y")
     loss = -(y * F.log(F.greatest(p, F.lit(1e-6))) + (1 - y) * F.log(F.greatest(1 - p, F.lit(1e-6))))
-    return _scored(spark, d).groupBy(F.floor(p * 10).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(p), 6).alias("mean_score"), F.round(F.avg(y), 6).alias("rate"), F.round(F.avg(loss), 6).alias("log_loss"))
+    return _scored(spark, d).groupBy(F.least(F.floor(p * 10), F.lit(9)).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(p.cast("decimal(20,12)")).cast("double") / F.count(F.lit(1)), 9).alias("mean_score"), F.round(F.avg(y), 9).alias("rate"), F.round(F.avg(loss), 6).alias("log_loss"), F.round(F.avg((p - y) * (p - y)), 6).alias("brier"))
 
 
 @query(
@@ -158,8 +159,10 @@ def factor_issuer_residual(spark: SparkSession, d: str) -> DataFrame:
 @query(TAPE + " SELECT a.id, CAST(count(b.id) AS BIGINT) AS followers FROM tape a LEFT JOIN tape b ON a.issuer = b.issuer AND a.bond != b.bond AND b.us > a.us AND b.us <= a.us + 3600000000 GROUP BY a.id")
 def leader_followers(spark: SparkSession, d: str) -> DataFrame:
     """Events of the issuer's other bonds in the hour after each event: the issuer's frame less the bond's own."""
-    ahead = lambda key: F.count(F.lit(1)).over(Window.partitionBy(key).orderBy("us").rangeBetween(1, 3_600_000_000))
-    return tape(spark, d).select("id", (ahead("issuer") - ahead("bond")).alias("followers"))
+    rows = tape(spark, d)
+    for key in ("issuer", "bond"):
+        rows = buckets.trailing(rows, key, "us", 3_600_000_000, lambda w, key=key: {f"n_{key}": F.count(F.lit(1)).over(w)}, ahead=True)
+    return rows.select("id", (F.col("n_issuer") - F.col("n_bond")).alias("followers"))
 
 
 @query("SELECT bond_id, trade_id FROM (SELECT DISTINCT bond_id, trade_id FROM trace_trades WHERE bond_id IS NOT NULL AND trade_id IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY bond_id ORDER BY md5(trade_id), trade_id) <= 5")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators import buckets
 from marlstone.operators import windows as W
 from marlstone.sources.tables import table
 from marlstone.sources.tape import customer_side, tape, trades
@@ -41,16 +42,16 @@ def daily(spark: SparkSession, d: str) -> DataFrame:
 @query(
     TAPE
     + """ SELECT a.id, count(*) AS op_count, CAST(coalesce(sum(b.side), 0) AS BIGINT) AS op_signed_count, round(sum(b.amount), 5) AS op_sum, round(sum(b.amount * b.side) FILTER (b.side != 0), 5) AS op_signed_sum,
-    round(avg(b.amount), 5) AS op_mean, round(sum(b.amount * b.amount) / sum(b.amount), 5) AS op_weighted_mean, round(sum(b.amount * b.amount) / sum(b.amount), 5) AS op_vwap, round(min(b.amount), 5) AS op_min,
+    round(avg(b.amount), 5) AS op_mean, round(sum(b.amount * (1 + b.id % 3)) / sum(1 + b.id % 3), 5) AS op_weighted_mean, round(sum(b.amount * (1 + b.id % 3)) / sum(1 + b.id % 3), 5) AS op_vwap, round(min(b.amount), 5) AS op_min,
     round(max(b.amount), 5) AS op_max, round(arg_min(b.amount, b.us), 5) AS op_first, round(arg_max(b.amount, b.us), 5) AS op_last, round(stddev_samp(b.amount), 5) AS op_std,
     round((a.us - max(b.us)) / 1e6, 5) AS op_time_since_last_event, round(count(*) / 172800.0, 9) AS op_intensity
     FROM tape a JOIN tape b ON a.bond = b.bond AND b.us BETWEEN a.us - 172800000000 AND a.us GROUP BY a.id, a.us"""
 )
 def state_operators(spark: SparkSession, d: str) -> DataFrame:
     """Registered state operators over the two calendar days up to and with each event."""
-    w = W.trailing("bond", "us", 2 * DAY, strict=False)
-    ops = W.simple_operators("amount", "side", "amount", "us", w, 172_800.0)
-    return tape(spark, d).select("id", *[(F.round(c, 9 if n == "intensity" else 5) if n not in ("count", "signed_count") else c.cast("long")).alias(f"op_{n}") for n, c in ops.items()])
+    made = lambda w: {f"op_{n}": F.round(c, 9 if n == "intensity" else 5) if n not in ("count", "signed_count") else c.cast("long") for n, c in W.simple_operators("amount", "side", "weight", "us", w, 172_800.0).items()}
+    rows = tape(spark, d).withColumn("weight", 1 + F.col("id") % 3 + F.lit(0.0))
+    return buckets.trailing(rows, "bond", "us", 2 * DAY, made, strict=False).drop(*rows.columns[:2], "us", "kind", "side", "amount", "weight")
 
 
 @query(
@@ -66,7 +67,7 @@ def state_operators(spark: SparkSession, d: str) -> DataFrame:
 )
 def state_robust_operators(spark: SparkSession, d: str) -> DataFrame:
     rows = tape(spark, d).withColumn("hour", F.floor(F.col("us") / 3_600_000_000).cast("long") % 24 + F.lit(0.0))
-    out = W.robust_operators(rows, "amount", "hour", "us", W.trailing("bond", "us", 2 * DAY, strict=False), 3600.0)
+    out = buckets.seen(rows, "bond", "us", 2 * DAY, lambda placed, w: W.robust_operators(placed, "amount", "hour", "us", w, 3600.0), strict=False)
     return rounded(out.drop(*[c for c in rows.columns if c != "id"]), "id", digits=9)
 
 
@@ -87,25 +88,15 @@ def state_run_length(spark: SparkSession, d: str) -> DataFrame:
     return W.run_length(tape(spark, d), "bond", "us", "side", ["id"])
 
 
-@query(
-    TAPE
-    + """, back AS (SELECT a.bond, a.us, a.id, row_number() OVER (PARTITION BY a.id ORDER BY b.us DESC, b.id DESC) AS k, sum(abs(b.amount)) OVER (PARTITION BY a.id ORDER BY b.us DESC, b.id DESC) AS s
-      FROM tape a JOIN tape b ON a.bond = b.bond AND (b.us, b.id) <= (a.us, a.id))
-    SELECT bond, us, id, CAST(min(k) FILTER (s >= 300) AS INT) AS events_needed FROM back WHERE k <= 20 GROUP BY ALL"""
-)
-def clock_notional(spark: SparkSession, d: str) -> DataFrame:
-    return W.notional_clock(tape(spark, d), "bond", "us", "amount", ["id"], 300.0, 20)
-
-
 @query(
     TAPE
     + """, back AS (SELECT a.bond, a.us, a.id, row_number() OVER (PARTITION BY a.id ORDER BY b.us DESC, b.id DESC) AS k, sum(CAST(abs(b.amount) AS DECIMAL(26,12))) OVER (PARTITION BY a.id ORDER BY b.us DESC, b.id DESC) AS s
       FROM tape a JOIN tape b ON a.bond = b.bond AND (b.us, b.id) <= (a.us, a.id))
     SELECT bond, us, id, CAST(min(k) FILTER (s >= 300) AS INT) AS events_needed FROM back GROUP BY ALL"""
 )
-def clock_notional_full(spark: SparkSession, d: str) -> DataFrame:
-    """clock_notional without its limit of twenty rows."""
-    return W.notional_clock_full(tape(spark, d), "bond", "us", "amount", ["id"], 300.0)
+def clock_notional(spark: SparkSession, d: str) -> DataFrame:
+    """How many events back from each it takes until their size is 300, over all of the bond's history."""
+    return W.notional_clock(tape(spark, d), "bond", "us", "amount", ["id"], 300.0)
 
 
 @query(
@@ -154,29 +145,13 @@ def _prior(columns: str, hours: int = 24) -> str:
 
 @query(_prior("round(sum(b.side) / nullif(count(*) FILTER (b.side != 0), 0), 6) AS a1, CAST(count(*) FILTER (b.side != 0) AS BIGINT) AS events", 72))
 def a1_count_imbalance(spark: SparkSession, d: str) -> DataFrame:
-    w = W.trailing("bond", "us", 3 * DAY)
-    return tape(spark, d).select("id", F.round(W.imbalance("side", F.lit(1.0), w), 6).alias("a1"), F.count(F.when(F.col("side") != 0, 1)).over(w).alias("events"))
+    made = lambda w: {"a1": F.round(W.imbalance("side", F.lit(1.0), w), 6), "events": F.count(F.when(F.col("side") != 0, 1)).over(w)}
+    return buckets.trailing(tape(spark, d), "bond", "us", 3 * DAY, made).select("id", "a1", "events")
 
 
 @query(_prior("round(sum(b.side * b.amount) FILTER (b.side != 0) / sum(abs(b.amount)) FILTER (b.side != 0), 9) AS a2", 72))
 def a2_notional_imbalance(spark: SparkSession, d: str) -> DataFrame:
-    return tape(spark, d).select("id", F.round(W.imbalance("side", F.col("amount"), W.trailing("bond", "us", 3 * DAY)), 9).alias("a2"))
-
-
-@query(
-    TAPE
-    + """ SELECT a.id, round(coalesce(sum(exp(-0.6931471805599453 * (a.us - b.us) / 8.64e10)) FILTER (b.side = 1), 0), 6) AS buy_intensity,
-      round(coalesce(sum(exp(-0.6931471805599453 * (a.us - b.us) / 8.64e10)) FILTER (b.side = -1), 0), 6) AS sell_intensity
-      FROM tape a LEFT JOIN tape b ON a.bond = b.bond AND b.us >= a.us - 864000000000 AND b.us < a.us GROUP BY a.id"""
-)
-def a3_intensity(spark: SparkSession, d: str) -> DataFrame:
-    """Decayed buys and sells of the ten days before, half-life a day."""
-    seen = F.collect_list(F.struct("us", "side")).over(W.trailing("bond", "us", 10 * DAY))
-
-    def decayed(side: int):
-        return F.round(F.aggregate(F.filter(seen, lambda o: o["side"] == side), F.lit(0.0), lambda s, o: s + F.exp(-F.lit(0.6931471805599453) * (F.col("us") - o["us"]) / DAY)), 6)
-
-    return tape(spark, d).select("id", decayed(1).alias("buy_intensity"), decayed(-1).alias("sell_intensity"))
+    return buckets.trailing(tape(spark, d), "bond", "us", 3 * DAY, lambda w: {"a2": F.round(W.imbalance("side", F.col("amount"), w), 9)}).select("id", "a2")
 
 
 @query(
@@ -185,7 +160,7 @@ def a3_intensity(spark: SparkSession, d: str) -> DataFrame:
       sum(exp(-0.6931471805599453 * (a.us - b.us) / 8.64e10)) FILTER (b.side = -1) / 86400 AS sells FROM tape a LEFT JOIN tape b ON a.bond = b.bond AND b.us < a.us AND b.side != 0 GROUP BY a.id)
     SELECT id, CAST(format('{:.8e}', buys) AS DOUBLE) AS buy_intensity, CAST(format('{:.8e}', sells) AS DOUBLE) AS sell_intensity FROM sums"""
 )
-def a3_intensity_full(spark: SparkSession, d: str) -> DataFrame:
+def a3_intensity(spark: SparkSession, d: str) -> DataFrame:
     """Decayed buys and sells a second over all of the bond's history, half-life a day; NULL before the first of a side. To nine digits, as old sums are small."""
     sides = {"buy_intensity": F.when(F.col("side") == 1, 1.0), "sell_intensity": F.when(F.col("side") == -1, 1.0)}
     rows = W.decayed_history(tape(spark, d), "bond", "us", DAY, sides)
@@ -197,8 +172,8 @@ def a3_intensity_full(spark: SparkSession, d: str) -> DataFrame:
     + """ SELECT a.id, arg_max(b.side, b.us) AS last_side, round((a.us - max(b.us)) / 1e6, 3) AS seconds_since FROM tape a LEFT JOIN tape b ON a.bond = b.bond AND b.us < a.us AND b.side != 0 GROUP BY a.id, a.us"""
 )
 def a4_last_side(spark: SparkSession, d: str) -> DataFrame:
-    last = F.max(F.when(F.col("side") != 0, F.struct("us", "side"))).over(W.history("bond", "us"))
-    return tape(spark, d).withColumn("_l", last).select("id", F.col("_l.side").alias("last_side"), F.round((F.col("us") - F.col("_l.us")) / 1e6, 3).alias("seconds_since"))
+    rows = buckets.known(tape(spark, d), "bond", "us", F.when(F.col("side") != 0, F.struct("us", "side")), name="_l")
+    return rows.select("id", F.col("_l.side").alias("last_side"), F.round((F.col("us") - F.col("_l.us")) / 1e6, 3).alias("seconds_since"))
 
 
 @query(
@@ -208,19 +183,21 @@ def a4_last_side(spark: SparkSession, d: str) -> DataFrame:
 )
 def a5_activity_surprise(spark: SparkSession, d: str) -> DataFrame:
     """Events of the day before over their daily mean of ten days."""
-    short, long = (F.count(F.lit(1)).over(W.trailing("bond", "us", n * DAY)) for n in (1, 10))
-    return tape(spark, d).select("id", F.round(F.try_divide(short * 10.0, long), 6).alias("a5"))
+    rows = tape(spark, d)
+    for name, days in (("short", 1), ("long", 10)):
+        rows = buckets.trailing(rows, "bond", "us", days * DAY, lambda w, name=name: {name: F.count(F.lit(1)).over(w)})
+    return rows.select("id", F.round(F.try_divide(F.col("short") * 10.0, F.col("long")), 6).alias("a5"))
 
 
 @query(
     TAPE
-    + """ SELECT a.id, round(1 / (1.0 + count(b.us)), 6) AS scarcity, round(1 - abs(sum(b.side)) / nullif(count(*) FILTER (b.side != 0), 0), 6) AS disagreement
+    + """ SELECT a.id, round(1 / (1.0 + count(b.us)), 6) AS crowding, round(1 - abs(sum(b.side)) / nullif(count(*) FILTER (b.side != 0), 0), 6) AS disagreement
       FROM tape a LEFT JOIN tape b ON a.issuer = b.issuer AND b.us >= a.us - 86400000000 AND b.us < a.us GROUP BY a.id"""
 )
-def a16_scarcity_disagreement(spark: SparkSession, d: str) -> DataFrame:
+def issuer_crowding(spark: SparkSession, d: str) -> DataFrame:
     """Over the issuer's events of the day before."""
-    w = W.trailing("issuer", "us", DAY)
-    return tape(spark, d).select("id", F.round(1 / (1.0 + F.count(F.lit(1)).over(w)), 6).alias("scarcity"), F.round(1 - F.abs(W.imbalance("side", F.lit(1.0), w)), 6).alias("disagreement"))
+    made = lambda w: {"crowding": F.round(1 / (1.0 + F.count(F.lit(1)).over(w)), 6), "disagreement": F.round(1 - F.abs(W.imbalance("side", F.lit(1.0), w)), 6)}
+    return buckets.trailing(tape(spark, d), "issuer", "us", DAY, made).select("id", "crowding", "disagreement")
 
 
 @query(
@@ -252,7 +229,7 @@ def label_coverage(spark: SparkSession, d: str) -> DataFrame:
     + """, s AS (SELECT bond, day, flow AS signal FROM daily), r AS (SELECT *, rank() OVER (PARTITION BY day ORDER BY signal) AS k, count(*) OVER (PARTITION BY day, signal) AS t, count(*) OVER (PARTITION BY day) AS n FROM s),
     c AS (SELECT *, (k + (t - 1) / 2.0) - (n + 1) / 2.0 AS centred FROM r) SELECT bond, day, round(CASE WHEN sum(abs(centred)) OVER (PARTITION BY day) > 0 THEN centred / sum(abs(centred)) OVER (PARTITION BY day) END, 8) AS weight FROM c"""
 )
-def portfolio_rank_long_short(spark: SparkSession, d: str) -> DataFrame:
+def portfolio_linear_rank_halves(spark: SparkSession, d: str) -> DataFrame:
     """Average ranks of a day's signals, centred, with gross weight one."""
     day = Window.partitionBy("day")
     rows = daily(spark, d).select("bond", "day", "flow", F.rank().over(day.orderBy("flow")).alias("k"))
@@ -272,7 +249,7 @@ def portfolio_capped(spark: SparkSession, d: str) -> DataFrame:
 @query(
     DAILY
     + """, p AS (SELECT bond, day, price / lag(price) OVER (PARTITION BY bond ORDER BY day) - 1 AS r FROM daily), m AS (SELECT day, avg(r) AS pnl FROM p WHERE r IS NOT NULL GROUP BY day),
-    c AS (SELECT day, pnl, sum(pnl) OVER (ORDER BY day) AS total FROM m) SELECT day, round(pnl, 8) AS pnl, round(total, 8) AS total, round(total - greatest(0, max(total) OVER (ORDER BY day)), 8) AS drawdown FROM c"""
+    c AS (SELECT day, pnl, sum(pnl) OVER (ORDER BY day) AS total FROM m) SELECT day, round(pnl, 8) AS pnl, round(total, 8) AS total, round(total - max(total) OVER (ORDER BY day), 8) AS drawdown FROM c"""
 )
 def pnl_drawdown(spark: SparkSession, d: str) -> DataFrame:
     """Of an equally weighted book; one row a day, so the global window is over days only."""
@@ -280,7 +257,7 @@ def pnl_drawdown(spark: SparkSession, d: str) -> DataFrame:
     days = daily(spark, d).withColumn("r", r).where("r IS NOT NULL").groupBy("day").agg(F.avg("r").alias("pnl"))
     total = F.sum("pnl").over(Window.orderBy("day"))
     peak = F.max("total").over(Window.orderBy("day"))
-    return rounded(days.withColumn("total", total).withColumn("drawdown", F.col("total") - F.greatest(F.lit(0.0), peak)), "day", digits=8)
+    return rounded(days.withColumn("total", total).withColumn("drawdown", F.col("total") - peak), "day", digits=8)
 
 
 @query(

@@ -17,11 +17,11 @@ def events(spark, folder, rows):
     return str(folder)
 
 
-def test_a3_intensity_full(spark, tmp_path):
+def test_a3_intensity(spark, tmp_path):
     rng, day = random.Random(7), 86_400
     rows = [(rng.randrange(90 * day), rng.choice([1, 2]), rng.choice(["purchase", "signup", "click", "error", "view"]), 1.0) for _ in range(150)]
     rows += [(50 * day, 3, "purchase", 1.0), (50 * day, 3, "purchase", 1.0), (75 * day, 3, "view", 1.0), (90 * day, 3, "click", 1.0), (90 * day, 3, "click", 1.0), (1050 * day, 3, "view", 1.0), (2200 * day, 3, "view", 1.0)]
-    got = {r.id: r for r in entry.queries()["a3_intensity_full"](spark, events(spark, tmp_path, rows)).collect()}
+    got = {r.id: r for r in entry.queries()["a3_intensity"](spark, events(spark, tmp_path, rows)).collect()}
     assert len(got) == len(rows)
     for i, (s, b, _, _) in enumerate(rows):
         for name, kinds in (("buy_intensity", ("purchase", "signup")), ("sell_intensity", ("click", "error"))):
@@ -31,11 +31,11 @@ def test_a3_intensity_full(spark, tmp_path):
             assert got[i][name] == (want if want is None else pytest.approx(want, rel=1e-8 if want > 1e-300 else 1e-2, abs=1e-322)), (i, name)
 
 
-def test_clock_notional_full(spark, tmp_path):
+def test_clock_notional(spark, tmp_path):
     rng = random.Random(8)
     rows = [(rng.randrange(5000), 1, "view", rng.choice([None, 0.0, 0.1, 1.25, 7.0, -3.3])) for _ in range(400)]
     rows += [(n, 2, "view", 10.0) for n in range(60)] + [(70, 2, "view", 300.0), (71, 2, "view", None)]
-    got = {r.id: r.events_needed for r in entry.queries()["clock_notional_full"](spark, events(spark, tmp_path, rows)).collect()}
+    got = {r.id: r.events_needed for r in entry.queries()["clock_notional"](spark, events(spark, tmp_path, rows)).collect()}
     assert len(got) == len(rows)
     for i, (s, b, _, _) in enumerate(rows):
         back, total, want = sorted(((t, j) for j, (t, c, _, _) in enumerate(rows) if c == b and (t, j) <= (s, i)), reverse=True), 0, None
