@@ -63,13 +63,13 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
 @query(
     _SCORED
     + """ SELECT CAST(least(floor(p * 10), 9) AS BIGINT) AS bin, CAST(count(*) AS BIGINT) AS n, round(CAST(sum(CAST(p AS DECIMAL(20, 12))) AS DOUBLE) / count(*), 9) AS mean_score, round(avg(y), 9) AS rate,
-      round(avg(-(y * ln(greatest(p, 1e-6)) + (1 - y) * ln(greatest(1 - p, 1e-6)))), 6) AS log_loss, round(avg((p - y) * (p - y)), 6) AS brier FROM e GROUP BY bin"""
+      round(avg(-(y * ln(greatest(p, 1e-6)) + (1 - y) * ln(greatest(1 - p, 1e-6)))), 9) AS log_loss, round(avg((p - y) * (p - y)), 9) AS brier FROM e GROUP BY bin"""
 )
 def metric_calibration(spark: SparkSession, d: str) -> DataFrame:
     """Scores as probabilities in ten bins: mean score, rate and logarithmic loss, from which calibration error follows."""
     p, y = F.col("p"), F.col("y")
     loss = -(y * F.log(F.greatest(p, F.lit(1e-6))) + (1 - y) * F.log(F.greatest(1 - p, F.lit(1e-6))))
-    return _scored(spark, d).groupBy(F.least(F.floor(p * 10), F.lit(9)).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(p.cast("decimal(20,12)")).cast("double") / F.count(F.lit(1)), 9).alias("mean_score"), F.round(F.avg(y), 9).alias("rate"), F.round(F.avg(loss), 6).alias("log_loss"), F.round(F.avg((p - y) * (p - y)), 6).alias("brier"))
+    return _scored(spark, d).groupBy(F.least(F.floor(p * 10), F.lit(9)).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(p.cast("decimal(20,12)")).cast("double") / F.count(F.lit(1)), 9).alias("mean_score"), F.round(F.avg(y), 9).alias("rate"), F.round(F.avg(loss), 9).alias("log_loss"), F.round(F.avg((p - y) * (p - y)), 9).alias("brier"))
 
 
 @query(

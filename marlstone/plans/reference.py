@@ -334,7 +334,7 @@ def factor_liquidity(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT raw_side, CASE WHEN lower(trim(raw_side)) IN ('b', 'buy', 'bought', 'customer_buy', '1', '+1') THEN 1 WHEN lower(trim(raw_side)) IN ('s', 'sell', 'sold', 'customer_sell', '-1') THEN -1 END AS side,
+    """SELECT raw_side, CASE WHEN lower(trim(raw_side)) IN ('1', 'buy', 'b', 'customer_buy', 'client_buy', 'client buys', 'customer buys') THEN 1 WHEN lower(trim(raw_side)) IN ('-1', 'sell', 's', 'customer_sell', 'client_sell', 'client sells', 'customer sells') THEN -1 END AS side,
     CAST(count(*) AS BIGINT) AS n FROM trace_trades GROUP BY ALL"""
 )
 def source_sides(spark: SparkSession, d: str) -> DataFrame:
@@ -380,11 +380,12 @@ def relational_pivot(spark: SparkSession, d: str) -> DataFrame:
     return out.select("l_linestatus", *[F.round(c, 2).alias(c) for c in "ANR"])
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AND c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
+@query("SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity > 45) AND p_size IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
 def relational_semi_anti(spark: SparkSession, d: str) -> DataFrame:
-    nations = table(spark, d, "nation").where("n_regionkey = 1")
-    rows = table(spark, d, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"), "left_semi")
-    return rows.join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    sizes = table(spark, d, "nation").where("n_regionkey = 1")
+    rows = table(spark, d, "part").join(sizes, F.col("p_size") == F.col("n_nationkey"), "left_semi")
+    returned = table(spark, d, "lineitem").where("l_returnflag = 'R' AND l_quantity > 45")
+    return rows.join(returned, F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey")
 
 
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 3")
