@@ -44,6 +44,9 @@ class Feature:
     quantile: float = 0.5
     half_life_seconds: float = 3600.0
     window_seconds: float | None = None
+    predicted: str | None = None
+    baseline_mean: str | None = None
+    baseline_std: str | None = None
 
 
 def business(day: dt.date, holidays: frozenset[dt.date]) -> bool:
@@ -174,6 +177,7 @@ def _window(shown: DataFrame, feature: Feature, starts: dict[int, int]) -> DataF
     rows = rows.select(
         key.alias("key"), "_t", "_us", F.struct("_us", "sequence", "event_id").alias("_o"), F.when(F.col("side").isin(-1, 1), F.col("side")).alias("_s"),
         number(feature.value).alias("_v"), number(feature.weight).alias("_w"), F.abs(F.coalesce(number("notional"), F.lit(0.0))).alias("_size"),
+        *[(number(c) if c else F.lit(None).cast("double")).alias(n) for n, c in (("_p", feature.predicted), ("_bm", feature.baseline_mean), ("_bs", feature.baseline_std))],
     ).where("key IS NOT NULL")
     newest = F.desc("_o")
     if feature.clock == "calendar":
@@ -213,6 +217,15 @@ def _values(rows: DataFrame, f: Feature) -> DataFrame:
     if f.operator == "ewma":
         decay = F.pow(F.lit(2.0), -F.greatest((F.col("_t") - F.col("_us")) / 1e6, F.lit(0.0)) / f.half_life_seconds)
         simple["ewma"] = F.try_divide(F.sum(F.when(v.isNotNull(), decay * v)), F.sum(F.when(v.isNotNull(), decay)))
+    if f.operator in ("residual", "time_of_day_zscore"):
+        # of the newest event, whether or not it has a value
+        at = F.max(F.struct("_o", "_v", "_p", "_bm", "_bs"))
+        if f.operator == "residual":
+            simple["residual"] = at["_v"] - at["_p"]
+            flag = F.when(at["_v"].isNull() | at["_p"].isNull(), "missing_prediction")
+        else:
+            simple["time_of_day_zscore"] = F.when(at["_bs"] > 0, (at["_v"] - at["_bm"]) / at["_bs"])
+            flag = F.when(at["_v"].isNull() | at["_bm"].isNull() | at["_bs"].isNull(), "missing_baseline").when(at["_bs"] <= 0, "zero_baseline_std")
     if f.operator in simple:
         if f.operator == "signed_count":
             flag = F.when(F.count("_s") < n, "missing_side")

@@ -168,6 +168,27 @@ def a6_quote_state(spark: SparkSession, d: str) -> DataFrame:
     return out.select("event_id", F.round("spread", 6).alias("spread"), F.round("mid", 6).alias("mid"), F.round("asymmetry", 9).alias("asymmetry"), F.round("staleness_seconds", 3).alias("staleness_seconds"))
 
 
+@query(
+    _both("executed AND side IN (-1, 1)", {}, {"b": "sum(CASE WHEN side = 1 THEN abs(size) END)", "s": "sum(CASE WHEN side = -1 THEN abs(size) END)", "k": "count(size)"}, (5,))
+    + """, q AS (SELECT DISTINCT bond_id AS bond, epoch_us(source_event_time) AS us, bid, ask, mid, spread FROM composite_snapshots WHERE bond_id IS NOT NULL AND mid IS NOT NULL AND bid IS NOT NULL AND ask IS NOT NULL AND spread IS NOT NULL),
+    l AS (SELECT g.event_id AS k, (g.us - q.us) / 1e6 AS age, q.spread FROM grid g JOIN q ON q.bond = g.bond AND q.us < g.us QUALIFY row_number() OVER (PARTITION BY g.event_id ORDER BY q.us DESC, bid DESC, ask DESC, mid DESC, spread DESC) = 1),
+    f AS (SELECT event_id, CASE WHEN k_last_5 > 0 THEN (coalesce(b_last_5, 0) - coalesce(s_last_5, 0)) / (coalesce(b_last_5, 0) + coalesce(s_last_5, 0) + 1e-9) END AS flow FROM w_last_5)
+    SELECT g.event_id, round(flow, 6) AS flow_pressure, round(flow * spread, 6) AS flow_x_spread, round(flow * age, 2) AS flow_x_staleness FROM grid g LEFT JOIN f ON f.event_id = g.event_id LEFT JOIN l ON l.k = g.event_id"""
+)
+def a6_flow(spark: SparkSession, d: str) -> DataFrame:
+    """Flow of the last five executions, and its products with the last composite's spread and staleness."""
+    rows = grid(spark, d)
+    size = F.abs("size")
+    sums = {**A.side_sums("side", size), "known": F.col("size").isNotNull().cast("double")}
+    flow = A.event_sums(rows, rows.where("executed AND side IN (-1, 1)"), "bond", "us", "event_id", sums, ["event_id"], [5])
+    buy, sell = F.col("buy_last_5"), F.col("sell_last_5")
+    flow = flow.select("event_id", F.when(F.col("known_last_5") > 0, (buy - sell) / (buy + sell + A.EPSILON)).alias("flow"))
+    quotes = table(spark, d, "composite_snapshots").where("bond_id IS NOT NULL AND mid IS NOT NULL AND bid IS NOT NULL AND ask IS NOT NULL AND spread IS NOT NULL")
+    quotes = quotes.select(F.col("bond_id").alias("bond"), micros("source_event_time").alias("us"), "bid", "ask", "mid", "spread").distinct()
+    out = flow.join(A.quote_state(rows, quotes, "bond", "us", "event_id"), "event_id")
+    return out.select("event_id", F.round("flow", 6).alias("flow_pressure"), F.round(F.col("flow") * F.col("spread"), 6).alias("flow_x_spread"), F.round(F.col("flow") * F.col("staleness_seconds"), 2).alias("flow_x_staleness"))
+
+
 _RATES = {"no_response": "NOT responded", "firm_up": "firmed_up", "execution": "executed"}
 
 

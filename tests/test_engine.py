@@ -60,6 +60,15 @@ def test_flags_and_late_publication(spark):
     assert engine.snapshot(bounded.limit(0), [Feature("s", "sum")], [T0]).collect() == []
 
 
+def test_operators_of_the_newest_event(spark):
+    rows = spark.createDataFrame([event("x", 0, 10.0), event("y", 5, 16.0), event("z", 9, 4.0, bond="c"), event("w", 9, None, bond="d")], FEED)
+    rows = rows.withColumns({"guess": F.lit(15.0), "mid": F.lit(12.0), "wide": F.when(F.col("bond_id") == "b", 2.0).otherwise(0.0)})
+    features = [Feature("r", "residual", predicted="guess"), Feature("z", "time_of_day_zscore", baseline_mean="mid", baseline_std="wide"), Feature("n", "residual")]
+    out = {(r.feature_name, r.key): (r.value, r.quality_flags) for r in engine.snapshot(rows, features, [T0 + dt.timedelta(hours=1)]).collect()}
+    assert out["r", "b"] == (1.0, []) and out["z", "b"] == (2.0, []) and out["z", "c"] == (None, ["missing_value", "zero_baseline_std"])
+    assert out["r", "d"] == (None, ["missing_value", "missing_prediction"]) and out["n", "b"][0] is None
+
+
 def test_ingestion(spark):
     rows = spark.createDataFrame([event("x", 0, 1.0), event("x", 5, 2.0), event("x", 6, None, "cancel")], FEED)
     assert [r.notional for r in engine.ingested(rows, duplicates="keep_first").orderBy("sequence").collect()] == [1.0, None]
