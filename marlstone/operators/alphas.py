@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.operators import buckets
@@ -38,6 +38,11 @@ def event_sums(grid: DataFrame, stream: DataFrame, key: str, us: str, grid_id: s
     """
     events = stream.where(F.col(key).isNotNull() & F.col(us).isNotNull()).select(key, us, *dict.fromkeys([*tie, *marks]), *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(f"_s_{n}") for n, c in sums.items()])
     events = buckets.numbered(events, key, us, tie, {f"_p_{n}": F.col(f"_s_{n}") for n in sums})
+    return _at_numbers(grid, events, key, us, grid_id, list(sums), counts, marks)
+
+
+def _at_numbers(grid: DataFrame, events: DataFrame, key: str, us: str, grid_id: str, sums: Sequence[str], counts: Sequence[int], marks: Sequence[str]) -> DataFrame:
+    """``event_sums`` of events that have their numbers (_row) and prefix sums (_p_<sum>)."""
     mark = F.struct("_row", *[F.col(f"_p_{n}") for n in sums], *marks)
     tagged = events.select(key, us, mark.alias("_mark"), F.lit(None).cast(dict(grid.dtypes)[grid_id]).alias(grid_id))
     asks = grid.select(key, us, F.lit(None).cast(tagged.schema["_mark"].dataType).alias("_mark"), grid_id).withColumn("_ask", F.lit(True))
@@ -84,16 +89,20 @@ def persistence(grid: DataFrame, stream: DataFrame, key: str, us: str, grid_id:
     """Of the sided events before each grid row: the last side, the length of its run, seconds since the last event of the
     other side, and per n the share of the last n on the last side and the switches among them over n - 1."""
     events = stream.where(F.col(side).isin(-1, 1) & F.col(key).isNotNull() & F.col(us).isNotNull()).select(key, us, side, *tie)
-    events = buckets.numbered(events, key, us, tie).drop("_prior")
-    # the row before, told by its number, which is the order itself
-    events = buckets.known(events.withColumn("_us", F.col(us)), key, "_row", F.struct(side, us), name="_before", width=4096)
-    switched = F.coalesce(F.col("_before")[side] != F.col(side), F.lit(False))
+    events = buckets.numbered(events, key, us, tie, before=F.struct(side, us)).drop("_prior")
+    switched = F.coalesce(F.col("_lag")[side] != F.col(side), F.lit(False))
     # where a run begins, its first row and the time of the other side's last event are known; later rows carry them
-    begun = F.when(F.col("_before").isNull() | switched, F.struct(F.col("_row").alias("row"), F.col("_before")[us].alias("other")))
-    events = buckets.known(events.withColumn("_begun", begun), key, "_row", F.col("_begun"), strict=False, name="_run", width=4096)
-    events = events.withColumns({"switch": switched.cast("double"), "run": F.col("_row") - F.col("_run.row") + 1, "other_us": F.col("_run.other")}).select(key, us, side, "switch", "run", "other_us", *tie)
-    sums = {"buy": F.when(F.col(side) == 1, 1.0), "sell": F.when(F.col(side) == -1, 1.0), "switch": F.col("switch")}
-    out = event_sums(grid, events, key, us, grid_id, sums, tie, [*counts, *[n - 1 for n in counts]], marks=(side, "run", "other_us"))
+    begun = F.when(F.col("_lag").isNull() | switched, F.struct(F.col("_row").alias("row"), F.col("_lag")[us].alias("other")))
+    events = events.withColumns({"_begun": begun, "_s_buy": (F.col(side) == 1).cast("double"), "_s_sell": (F.col(side) == -1).cast("double"), "_s_switch": switched.cast("double")})
+    names = ["buy", "sell", "switch"]
+    events = buckets.chain(
+        buckets.placed(events, key, us), key, {**{f"_t_{n}": F.sum(f"_s_{n}") for n in names}, "_t_run": F.max("_begun")},
+        lambda w: {**{f"_c_{n}": F.sum(f"_t_{n}").over(w) for n in names}, "_c_run": F.max("_t_run").over(w)},
+    )
+    order = Window.partitionBy(key, "_bucket").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
+    run = F.coalesce(F.max("_begun").over(order), F.col("_c_run"))
+    events = events.withColumns({**{f"_p_{n}": F.coalesce(f"_c_{n}", F.lit(0.0)) + F.sum(f"_s_{n}").over(order) for n in names}, "run": F.col("_row") - run["row"] + 1, "other_us": run["other"]})
+    out = _at_numbers(grid, events, key, us, grid_id, names, [*counts, *[n - 1 for n in counts]], marks=(side, "run", "other_us"))
     last = F.col(f"last_{side}")
     columns = [last.alias("last_side"), F.col("last_run").alias("same_side_run_length"), ((F.col(us) - F.col("last_other_us")) / 1e6).alias("elapsed_seconds_since_side_change")]
     for n in counts:

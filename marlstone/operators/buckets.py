@@ -55,23 +55,26 @@ def placed(df: DataFrame, key: str, us: str, width: int = DAY) -> DataFrame:
     return df.withColumn("_bucket", bucket(us, width)).repartition(key, "_bucket")
 
 
-def numbered(df: DataFrame, key: str, us: str, tie: Sequence[str], sums: dict[str, Column] | None = None, width: int = DAY) -> DataFrame:
+def numbered(df: DataFrame, key: str, us: str, tie: Sequence[str], sums: dict[str, Column] | None = None, width: int = DAY, before: Column | None = None) -> DataFrame:
     """``df`` with ``_row`` (its number in the key's history, from 1), ``_prior`` (rows at strictly earlier instants) and
-    running sums over the history up to and with the row."""
+    running sums over the history up to and with the row; with ``before`` also ``_lag``, that struct of the row before."""
     sums = sums or {}
+    tail = {"_tail": F.max(F.struct(F.col(us).alias("t"), *[F.col(t).alias(f"t{i}") for i, t in enumerate(tie)], before.alias("b")))} if before is not None else {}
     own = Window.partitionBy(key, "_bucket")
     order = own.orderBy(us, *tie)
     zero = {n: F.coalesce(c, F.lit(0)) for n, c in sums.items()}
     rows = chain(
-        placed(df, key, us, width), key, {"_n": F.count(F.lit(1)), **{f"_s_{n}": F.sum(c) for n, c in zero.items()}},
-        lambda w: {"_before": F.coalesce(F.sum("_n").over(w), F.lit(0)), **{f"_b_{n}": F.sum(f"_s_{n}").over(w) for n in sums}},
+        placed(df, key, us, width), key, {"_n": F.count(F.lit(1)), **{f"_s_{n}": F.sum(c) for n, c in zero.items()}, **tail},
+        lambda w: {"_before": F.coalesce(F.sum("_n").over(w), F.lit(0)), **{f"_b_{n}": F.sum(f"_s_{n}").over(w) for n in sums}, **({"_last": F.last("_tail").over(w)} if tail else {})},
     )
     made = {
         "_row": F.col("_before") + F.row_number().over(order),
         "_prior": F.col("_before") + F.count(F.lit(1)).over(own.orderBy(us).rangeBetween(Window.unboundedPreceding, -1)),
         **{n: F.coalesce(f"_b_{n}", F.lit(0)) + F.sum(c).over(order.rowsBetween(Window.unboundedPreceding, 0)) for n, c in zero.items()},
     }
-    return rows.withColumns(made).drop("_bucket", "_before", *[f"_b_{n}" for n in sums])
+    if tail:
+        made["_lag"] = F.coalesce(F.lag(before).over(order), F.col("_last.b"))
+    return rows.withColumns(made).drop("_bucket", "_before", "_last", *[f"_b_{n}" for n in sums])
 
 
 def known(df: DataFrame, key: str, us: str, mark: Column, *, strict: bool = True, forward: bool = False, name: str = "_known", width: int = DAY) -> DataFrame:
