@@ -42,6 +42,27 @@ def seen(df: DataFrame, key: str, us: str, width: int, made: Callable[[DataFrame
     return out.where("_home = _bucket").drop("_home", "_bucket")
 
 
+def summed(df: DataFrame, keep: Sequence[str], key: str, us: str, width: int, values: dict[str, Column]) -> DataFrame:
+    """The columns ``keep`` with each of ``values``, which are integers, summed over [t - width, t); 0 without any, and for a
+    null key or time.
+
+    A sliding frame adds up its rows anew for every instant. Here each row comes in at its instant and goes out ``width``
+    later, and one running total makes all windows of a bucket. In a bucket as wide as the window exactly the rows of the
+    bucket before go out, so it begins with their total and waits for no other bucket.
+    """
+    placed = F.col(key).isNotNull() & F.col(us).isNotNull()
+    sign = F.explode(F.when(placed, F.array(F.lit(1), F.lit(-1))).otherwise(F.array(F.lit(0))))
+    rows = df.select(*keep, F.when(placed, F.col(key)).alias("_key"), F.col(us).alias("_at"), *[v.cast("long").alias(n) for n, v in values.items()], sign.alias("_sign"))
+    at, out = F.col("_at") + F.when(F.col("_sign") < 0, width).otherwise(0), F.col("_sign") < 0
+    rows = rows.select(*keep, "_key", at.alias("_at"), "_sign", *[(F.col(n) * F.col("_sign")).alias(n) for n in values])
+    # rows without key or time are spread, under a null key
+    rows = rows.withColumn("_bucket", F.when(F.col("_sign") != 0, F.col("_at") - F.pmod("_at", F.lit(width))).otherwise(F.pmod(F.xxhash64(*keep), F.lit(1000))))
+    order = Window.partitionBy("_key", "_bucket").orderBy("_at")
+    before, whole = order.rangeBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumns({n: F.coalesce(F.sum(n).over(before), F.lit(0)) - F.sum(F.when(out, F.col(n)).otherwise(0)).over(whole) for n in values})
+    return rows.where("_sign >= 0").select(*keep, *values)
+
+
 def chain(df: DataFrame, key: str, totals: dict[str, Column], chained: Callable[[WindowSpec], dict[str, Column]], *, back: bool = False) -> DataFrame:
     """``df``, placed by key and ``_bucket``, with columns made from the ``totals`` of its key's earlier (``back``: later) buckets."""
     w = Window.partitionBy("_chain_key").orderBy(F.desc("_chain_at") if back else F.asc("_chain_at")).rowsBetween(Window.unboundedPreceding, -1)

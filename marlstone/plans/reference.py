@@ -195,9 +195,11 @@ def a5_activity_surprise(spark: SparkSession, d: str) -> DataFrame:
       FROM tape a LEFT JOIN tape b ON a.issuer = b.issuer AND b.us >= a.us - 86400000000 AND b.us < a.us GROUP BY a.id"""
 )
 def issuer_crowding(spark: SparkSession, d: str) -> DataFrame:
-    """Over the issuer's events of the day before."""
-    made = lambda w: {"crowding": F.round(1 / (1.0 + F.count(F.lit(1)).over(w)), 6), "disagreement": F.round(1 - F.abs(W.imbalance("side", F.lit(1.0), w)), 6)}
-    return buckets.trailing(tape(spark, d), "issuer", "us", DAY, made).select("id", "crowding", "disagreement")
+    """Over the issuer's events of the day before; those of a repeated id are added up."""
+    counts = {"n": F.lit(1), "net": F.col("side"), "sided": F.abs("side")}
+    rows = buckets.summed(tape(spark, d), ["id"], "issuer", "us", DAY, counts)
+    rows = rows.groupBy("id").agg(*[F.sum(n).alias(n) for n in counts])
+    return rows.select("id", F.round(1 / (1.0 + F.col("n")), 6).alias("crowding"), F.round(1 - F.try_divide(F.abs("net"), F.col("sided")), 6).alias("disagreement"))
 
 
 @query(

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 
@@ -55,3 +56,28 @@ def test_p5_issuer_statistics(spark, tmp_path):
     assert set(got) == {"i", "j"}
     assert (got["i"].n_rows, got["i"].total, got["i"].n_distinct, got["i"].mode, got["i"].p50) == (3, 12.0, 2, 5.0, 5.0)
     assert (got["j"].n_rows, got["j"].total, got["j"].n_distinct, got["j"].mode, got["j"].p50) == (1, None, 0, None, None)
+
+
+def test_issuer_crowding(spark, tmp_path):
+    rng, day, hour = random.Random(9), 86_400, 3600
+    late = lambda: rng.choice([0, 0, -50 * 365 * day]) + rng.randrange(100) * hour  # noqa: E731, steps of an hour meet at either edge; some before 1970
+    rows = [(i, late(), rng.randrange(25), rng.choice(["purchase", "signup", "click", "error", "view", None])) for i in range(400)]
+    rows += [(7, late(), 3, "click"), (7, 5 * hour, 4, "purchase"), (None, 30 * hour, 4, "view"), (None, 31 * hour, 5, "view")]  # ids again, and none
+    rows += [(500 + i, rng.choice([None, 40 * hour]), None, "click") for i in range(20)] + [(600 + i, None, i % 3, "signup") for i in range(20)]
+    stamps = [(i, None if s is None else T0 + dt.timedelta(seconds=s), b, k, 1.0, None) for i, s, b, k in rows]
+    spark.createDataFrame(stamps, EVENTS).repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    df = entry.queries()["issuer_crowding"](spark, str(tmp_path))
+    got = {r.id: (r.crowding, r.disagreement) for r in df.collect()}
+    sides, want = {"purchase": 1, "signup": 1, "click": -1, "error": -1}, {}
+    for i, s, b, _ in rows:
+        want.setdefault(i, []).extend(sides.get(k, 0) for _, t, c, k in rows if None not in (s, t, b, c) and c % 10 == b % 10 and s - day <= t < s)
+    assert df.count() == len(want) and max(map(len, want.values())) > 5
+    for i, seen in want.items():
+        sided = sum(map(abs, seen))
+        assert got[i] == (pytest.approx(1 / (1 + len(seen)), abs=1e-6), pytest.approx(1 - abs(sum(seen)) / sided, abs=1e-6) if sided else None), i
+
+
+def test_issuer_crowding_adds_up_no_window_anew(spark, tmp_path):
+    df = entry.queries()["issuer_crowding"](spark, events(spark, tmp_path, [(0, 1, "view", 1.0)]))
+    frames = re.findall(r"specifiedwindowframe\((\w+), ([^,]+),", df._jdf.queryExecution().optimizedPlan().toString())
+    assert frames and all(start == "unboundedpreceding$()" for _, start in frames), frames
